@@ -19,7 +19,7 @@ def file_format(path: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.url_decode(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\+", "%2B"))
+    return F.substring_index(path, "/", -1)
 
 
 def fill_null(column: Column, value: Any) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -24,14 +25,16 @@ def query_dataset(df: DataFrame, sql: str, limit: int = ROW_LIMIT, args: dict[st
     if FORBIDDEN.search(sql):
         raise ValueError("the query calls a forbidden function")
     spark = df.sparkSession
-    df.createOrReplaceTempView(VIEW)
+    view = f"larkspur_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
     try:
-        found = spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) LIMIT {int(limit)}", args)
-        if not set(found.inputFiles()) <= set(df.inputFiles()):
-            raise ValueError("the query reads something other than the dataset")
-        return found
+        text = sql.strip().rstrip(";")
+        found = spark.sql(f"WITH {VIEW} AS (SELECT * FROM {view}) SELECT * FROM (\n{text}\n) LIMIT {int(limit)}", args)
     finally:
-        spark.catalog.dropTempView(VIEW)
+        spark.catalog.dropTempView(view)
+    if not set(found.inputFiles()) <= set(df.inputFiles()):
+        raise ValueError("the query reads something other than the dataset")
+    return found
 
 
 def plot_chart(df: DataFrame, type: str, **options: Any) -> Chart:  # noqa: A002 - the name of the field

@@ -61,13 +61,8 @@ class Catalog:
         columns = [
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in known
         ]
-        (
-            rows.select(*columns, F.lit(batch).alias("batch_id"))
-            .write.partitionBy("batch_id")
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .parquet(self.path(table))
-        )
+        # Straight into its own folder: batches written at the same time do not meet.
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path(table)}/batch_id={batch}")
         return batch
 
     def read(self, table: str, with_batch: bool = False) -> DataFrame:

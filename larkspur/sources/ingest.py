@@ -9,12 +9,15 @@ from __future__ import annotations
 import csv
 import io
 import logging
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ from larkspur.sources.readers import BAD_RECORD, MAX_MB, READERS, checked_files,
 log = logging.getLogger(__name__)
 
 FILES_PER_GROUP = 5_000  # paths handed to one read
+GROUPS_AT_A_TIME = 6  # groups whose jobs run side by side
 SEPARATORS = {"csv": ",", "tsv": "\t"}  # fixed values: text formats and their separators
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -53,18 +57,21 @@ class _File:
 
 
 def ingest(
-    spark: SparkSession, paths: str | list[str], catalog: Catalog, workspace_id: str, max_mb: int = MAX_MB
+    spark: SparkSession, paths: str | list[str], catalog: Catalog, workspace_id: str, max_mb: int = MAX_MB,
+    samples: bool = False,
 ) -> DataFrame:
     """Ingest all files under `paths`; returns their rows of the `datasets` table.
 
     A file that is refused or cannot be read gets status `failed` with the reason; the others go on.
+    With `samples`, the most frequent values of every column are catalogued too.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return ingest_files(files.drop("content"), catalog, workspace_id, max_mb)
+    return ingest_files(files.drop("content"), catalog, workspace_id, max_mb, samples=samples)
 
 
 def ingest_files(
-    files: DataFrame, catalog: Catalog, workspace_id: str, max_mb: int = MAX_MB, batch: str | None = None
+    files: DataFrame, catalog: Catalog, workspace_id: str, max_mb: int = MAX_MB, batch: str | None = None,
+    samples: bool = False,
 ) -> DataFrame:
     """Ingest listed files (path, modificationTime, length). Only this listing reaches the driver.
 
@@ -73,20 +80,25 @@ def ingest_files(
     """
     batch = batch or uuid.uuid4().hex
     key = stable_id(F.col("path"), F.unix_micros("modified"), F.col("file_size"))
-    checked = checked_files(files, max_mb).withColumn("id", key).orderBy("path")
+    checked = checked_files(files, max_mb).withColumn("id", key)
     listed = []
-    for r in checked.collect():
+    for r in sorted(checked.collect(), key=lambda r: r["path"]):
         file = _File(r["id"], r["path"], r["original_name"], r["file_format"], r["file_size"])
         if r["error"]:
             file.fail(r["error"])
         listed.append(file)
 
-    written = 0
-    for group in _groups(catalog.spark, [f for f in listed if f.status == "pending"], max_mb):
-        for part in _load(catalog, group):
-            catalog.write_columns(*part, batch=f"{batch}_{written}")
-            written += 1
-    _write_empty(catalog, [f for f in listed if f.status == "ready" and not f.row_count], f"{batch}_{written}")
+    def take(number: int, group: list[_File]) -> None:
+        for name, landed in _load(catalog, group, f"{batch}_{number}"):
+            columns = [c for c in landed.columns if c != "dataset_id"]
+            values = sample_values(landed, columns, by=["dataset_id"]) if samples else None
+            catalog.write_columns(profile(landed, columns, ["dataset_id"]), values, name)
+
+    groups = list(_groups(catalog.spark, [f for f in listed if f.status == "pending"], max_mb))
+    with ThreadPoolExecutor(GROUPS_AT_A_TIME) as pool:
+        work = inheritable_thread_target(catalog.spark)(take)
+        list(pool.map(work, range(len(groups)), groups))
+    _write_empty(catalog, [f for f in listed if f.status == "ready" and not f.row_count], f"{batch}_empty")
 
     mine = F.split_part("batch_id", F.lit("_"), F.lit(1)) == batch
     rows = [
@@ -106,7 +118,7 @@ def ingest_files(
 
 
 def _contents(spark: SparkSession, files: list[_File], max_mb: int) -> DataFrame:
-    found = spark.read.format("binaryFile").load([f.path for f in files])
+    found = spark.read.format("binaryFile").load([_literal(f.path) for f in files])
     return found.where(F.col("length") <= max_mb * 1024 * 1024)
 
 
@@ -194,50 +206,32 @@ def header_names(line: str, sep: str) -> tuple[str, ...]:
 # --- loading ------------------------------------------------------------------------------------
 
 
-def _load(catalog: Catalog, files: list[_File]) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """Land a group and profile it; if the group fails, its files are tried one by one."""
+def _load(catalog: Catalog, files: list[_File], name: str) -> Iterator[tuple[str, DataFrame]]:
+    """Land a group; if the group fails, its files are tried one by one."""
     try:
-        parts = list(_land(catalog, files))
+        parts = list(_land(catalog, files, name))
     except Exception as error:  # noqa: BLE001 - reported per file
         if len(files) == 1:
             log.warning("ingest of %s failed: %s", files[0].path, error)
             files[0].fail(error)
             return
-        for f in files:
+        for i, f in enumerate(files):
             if f.status != "failed":
                 f.status = "pending"
-                yield from _load(catalog, [f])
+                yield from _load(catalog, [f], f"{name}_{i}")
         return
-    for landed in parts:
-        yield profile(landed, by=["dataset_id"]), sample_values(
-            landed, [c for c in landed.columns if c != "dataset_id"], by=["dataset_id"]
-        )
+    yield from parts
 
 
-def _land(catalog: Catalog, files: list[_File]) -> Iterator[DataFrame]:
+def _land(catalog: Catalog, files: list[_File], name: str) -> Iterator[tuple[str, DataFrame]]:
     """Write the typed tables of a group, one folder per dataset, and read them back."""
-    spark = catalog.spark
-    file_format = files[0].file_format
-    for members, typed in _typed(spark, file_format, files):
-        (
-            typed.write.partitionBy("dataset_id")
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .parquet(catalog.path("data"))
-        )
-        for f in members:
-            f.storage_path = f"{catalog.path('data')}/dataset_id={f.id}"
-        kept = [x for x in typed.schema if x.name != "dataset_id"]
-        ddl = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept)
-        landed = (
-            spark.read.schema(f"{ddl}, dataset_id string")
-            .option("basePath", catalog.path("data"))
-            .parquet(*[f.storage_path for f in members])
-        )
-        counts = {r["dataset_id"]: r["count"] for r in landed.groupBy("dataset_id").count().collect()}
+    for i, (members, typed) in enumerate(_typed(catalog.spark, files[0].file_format, files)):
+        path = f"{catalog.path('data')}/{name}_{i}"
+        typed.write.partitionBy("dataset_id").mode("overwrite").parquet(path)
         for f in members:
-            f.row_count, f.status = counts.get(f.id, 0), "ready"
-        yield landed
+            f.status, f.storage_path = "ready", f"{path}/dataset_id={f.id}"
+        kept = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in typed.schema if x.name != "dataset_id")
+        yield f"{name}_{i}", catalog.spark.read.schema(f"{kept}, dataset_id string").parquet(path)
 
 
 def _with_id(spark: SparkSession, df: DataFrame, path_column: str, files: list[_File]) -> DataFrame:
@@ -253,20 +247,33 @@ def _typed(spark: SparkSession, file_format: str, files: list[_File]) -> Iterato
     elif file_format == "xlsx":
         yield from _typed_workbooks(spark, files)
     else:
-        paths = [f.path for f in files]
+        paths = [_literal(f.path) for f in files]
         if file_format == "parquet":
-            df = spark.read.parquet(*paths)
+            df = spark.read.parquet(*paths).withColumn("__path", _source_path())
         elif file_format in ("json", "jsonl", "ndjson"):
             df = spark.read.option("multiLine", files[0].variant == "array").json(paths)
+            df = df.withColumn("__path", _source_path())
         else:
-            df = READERS[f".{file_format}"](spark, files[0].path)
-            yield files, df.withColumn("dataset_id", F.lit(files[0].id))
-            return
-        yield files, _with_id(spark, df.withColumn("__path", _source_path()), "__path", files)
+            df = READERS[f".{file_format}"](spark, paths[0])
+            df = df.withColumn("__path", F.lit(files[0].path))
+        table = _with_id(spark, df, "__path", files)
+        counts = {r["dataset_id"]: r["count"] for r in table.groupBy("dataset_id").count().collect()}
+        for f in files:
+            f.row_count = counts.get(f.id, 0)
+            if not f.row_count:
+                f.status, f.header = "ready", f.header or tuple(df.drop("__path").columns)
+        if counts:
+            yield [f for f in files if f.row_count], table
 
 
 def _source_path():
-    return F.col("_metadata.file_path")
+    """The path as the file listing writes it; the metadata column has it URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _literal(path: str) -> str:
+    """A path in which no character acts as a wildcard."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def _by_types(files: list[_File], found: dict[str, list[str]]) -> Iterator[tuple[list[str], list[_File]]]:
@@ -282,17 +289,24 @@ def _typed_text(spark: SparkSession, sep: str, files: list[_File]) -> Iterator[t
 
     def raw(members: list[_File]) -> DataFrame:
         # Files are at most as large as the guard allows, so each is read whole by one task.
-        return raw_text(spark, [f.path for f in members], header, sep, multi_line=True).withColumn("__path", _source_path())
+        paths = [_literal(f.path) for f in members]
+        return raw_text(spark, paths, header, sep, multi_line=True).withColumn("__path", _source_path())
 
     facts = raw(files).groupBy("__path").agg(
-        type_choices(header).alias("types"), F.count_if(too_long(header, sep)).alias("long")
+        type_choices(header).alias("types"),
+        F.count_if(too_long(header, sep)).alias("long"),
+        F.count("*").alias("rows"),
     )
     found = {r["__path"]: r for r in facts.collect()}
+    if not found.keys() <= {f.path for f in files}:
+        raise ValueError("a source path was not recognised")
     filled = []
     for f in files:
-        if f.path not in found:
-            f.status, f.row_count = "ready", 0  # a header without rows
+        f.row_count = found[f.path]["rows"] if f.path in found else 0
+        if not f.row_count:
+            f.status = "ready"  # a header without rows
         elif found[f.path]["long"]:
+            f.row_count = None
             f.fail(f"{found[f.path]['long']} rows have more fields than the header")
         else:
             filled.append(f)
@@ -304,7 +318,7 @@ def _typed_text(spark: SparkSession, sep: str, files: list[_File]) -> Iterator[t
 
 
 def _typed_workbooks(spark: SparkSession, files: list[_File]) -> Iterator[tuple[list[_File], DataFrame]]:
-    content = spark.read.format("binaryFile").load([f.path for f in files])
+    content = spark.read.format("binaryFile").load([_literal(f.path) for f in files])
     cells = cut_lineage(workbook_cells(content), "workbooks")
     heads = {r["path"]: r for r in cells.where("cells IS NULL").select("path", "header", "error").collect()}
     alike = defaultdict(list)
@@ -316,15 +330,16 @@ def _typed_workbooks(spark: SparkSession, files: list[_File]) -> Iterator[tuple[
             alike[f.header].append(f)
     for header, members in sorted(alike.items()):
         rows = _with_id(spark, cells.where(F.col("cells").isNotNull()), "path", members)
-        types = {r["dataset_id"]: r["types"] for r in
-                 rows.groupBy("dataset_id").agg(cell_types(len(header)).alias("types")).collect()}
-        filled = [f for f in members if f.id in types]
+        facts = rows.groupBy("dataset_id").agg(cell_types(len(header)).alias("types"), F.count("*").alias("rows"))
+        found = {r["dataset_id"]: r for r in facts.collect()}
         for f in members:
-            if f.id not in types:
-                f.status, f.row_count = "ready", 0
-        for chosen, part in _by_types(filled, {f.path: types[f.id] for f in filled}):
-            table = typed_cells(rows.where(F.col("dataset_id").isin([f.id for f in part])), list(header), chosen, ["dataset_id"])
-            yield part, table
+            f.row_count = found[f.id]["rows"] if f.id in found else 0
+            if not f.row_count:
+                f.status = "ready"
+        filled = [f for f in members if f.row_count]
+        for types, part in _by_types(filled, {f.path: found[f.id]["types"] for f in filled}):
+            mine = rows.where(F.col("dataset_id").isin([f.id for f in part]))
+            yield part, typed_cells(mine, list(header), types, ["dataset_id"])
 
 
 def _write_empty(catalog: Catalog, files: list[_File], batch: str) -> None:
