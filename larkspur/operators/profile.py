@@ -257,6 +257,11 @@ def categorical_columns(df: DataFrame, max_categories: int = 50, columns: list[s
 # --- correlation and outliers -------------------------------------------------------------------
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Correlation over the rows where both are present; null, not an error, without variance."""
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present: [x, y, correlation].
 
@@ -270,7 +275,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
             F.struct(
                 F.lit(a).alias("x"),
                 F.lit(b).alias("y"),
-                finite_only(F.corr(finite_only(col(a)), finite_only(col(b)))).alias("correlation"),
+                _pearson(finite_only(col(a)), finite_only(col(b))).alias("correlation"),
             )
             for a, b in pairs[start : start + PAIRS_PER_PASS]
         ]
