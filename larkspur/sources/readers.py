@@ -170,8 +170,8 @@ def read_sql(
     database is asked for its minimum and maximum.
     """
     if partition_column and bounds is None:
-        whole = spark.read.format("jdbc").options(**sql_options(url, table, **properties)).load()
-        row = whole.agg(F.min(col(partition_column)), F.max(col(partition_column))).first()
+        extent = f"(SELECT MIN({partition_column}) AS low, MAX({partition_column}) AS high FROM {table}) extent"
+        row = spark.read.format("jdbc").options(**sql_options(url, extent, **properties)).load().first()
         bounds = (row[0], row[1]) if row[0] is not None else None
         partition_column = partition_column if bounds else None
     options = sql_options(url, table, partition_column, bounds, partitions, **properties)
