@@ -111,6 +111,11 @@ def unique_counts(df: DataFrame, columns: list[str] | None = None, by: list[str]
     return reduce(DataFrame.unionByName, parts).withColumn("position", F.col("position").cast("int"))
 
 
+def _rough_unique_count(df: DataFrame, column: str) -> Column:
+    null = F.when(F.count_if(col(column).isNull()) > 0, 1).otherwise(0)
+    return (F.approx_count_distinct(_comparable(df.schema[column])) + null).cast("long")
+
+
 def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 5, by: list[str] = ()) -> DataFrame:
     """The n most frequent non-null values per column, ties ascending.
 
@@ -159,10 +164,13 @@ def _stats(df: DataFrame, name: str) -> Column:
     ).cast(STATS_TYPE)
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, by: list[str] = ()) -> DataFrame:
+def profile(
+    df: DataFrame, columns: list[str] | None = None, by: list[str] = (), approximate: bool = False
+) -> DataFrame:
     """One row per column: [*by, position, column_name, dtype, row_count, null_count, unique_count, stats].
 
     With `by`, every group (for example every source file) gets its own profile in the same jobs.
+    `approximate` sketches the distinct counts, which leaves a single pass without a large shuffle.
     """
     keys = [col(b) for b in by]
     columns = list(columns) if columns is not None else [c for c in df.columns if c not in by]
@@ -174,12 +182,13 @@ def profile(df: DataFrame, columns: list[str] | None = None, by: list[str] = ())
             F.lit(dtype_name(df.schema[c].dataType)).alias("dtype"),
             F.count_if(col(c).isNull()).alias("null_count"),
             _stats(df, c).alias("stats"),
+            *([_rough_unique_count(df, c).alias("unique_count")] if approximate else []),
         )
         for i, c in enumerate(columns)
     ]
     wide = df.groupBy(*keys).agg(F.count("*").alias("row_count"), F.array(*rows).alias("columns"))
     facts = wide.select(*keys, "row_count", F.inline("columns"))
-    found = facts.join(unique_counts(df, columns, by), [*by, "position"], "left")
+    found = facts if approximate else facts.join(unique_counts(df, columns, by), [*by, "position"], "left")
     return found.select(
         *keys,
         "position",

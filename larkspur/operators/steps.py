@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from larkspur.functions.types import check_columns, col, is_nested, is_numeric,
 from larkspur.operators.columns import replace_columns
 from larkspur.operators.profile import categorical_columns, fences, outside
 from larkspur.operators.quantiles import medians
+from larkspur.operators.ranking import rank_within
 from larkspur.session import cut_lineage
 
 Log = dict[str, Any]
@@ -28,7 +29,7 @@ Step = Callable[..., tuple[DataFrame, Log]]
 STEPS: dict[str, Step] = {}
 
 UNKNOWN = "Unknown"  # fixed value: the fill of non-numeric columns
-BROADCAST_CODES = 100_000  # a code table up to this many rows is broadcast
+BROADCAST_BYTES = 32 * 1024 * 1024  # a code table up to this size is broadcast
 HOT_SHARE = 1_000  # a value with more than 1/HOT_SHARE of the rows is salted
 SALTS = 64
 
@@ -205,56 +206,47 @@ def _one_hot(df: DataFrame, columns: list[str], max_categories: int) -> tuple[Da
 
 
 def value_codes(df: DataFrame, column: str) -> DataFrame:
-    """Codes 0..k-1 of the non-null values in ascending order: (value, code, rows).
-
-    Any number of values: they are range-partitioned once, written, and numbered per range on top of
-    the number of values in the ranges before it. Only one count per range reaches the driver.
-    """
-    ranged = (
-        df.where(col(column).isNotNull())
-        .groupBy(col(column).alias("value"))
-        .agg(F.count("*").alias("rows"))
-        .repartitionByRange("value")
-        .withColumn("range", F.spark_partition_id())
-    )
-    ranged = cut_lineage(ranged, "codes")
-    sizes = sorted((r["range"], r["count"]) for r in ranged.groupBy("range").count().collect())
-    starts, total = {}, 0
-    for number_, size in sizes:
-        starts[number_] = total
-        total += size
-    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("range"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy("value"))
-    code = (start + within - 1).cast("long") if starts else F.lit(0).cast("long")
-    return ranged.select("value", code.alias("code"), "rows")
+    """Codes 0..k-1 of the non-null values in ascending order, for any number of values: (value, code, rows)."""
+    values = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count("*").alias("rows"))
+    return rank_within(values, [], [F.col("value")], "code").withColumn("code", F.col("code") - 1)
 
 
 def _label(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Log]:
     affected = []
     order = df.columns
     for c in columns:
-        codes = value_codes(df, c)
-        facts = codes.agg(F.count("*").alias("values"), F.sum("rows").alias("rows")).first()
-        df = _attach(df, c, codes, facts["values"], facts["rows"] or 0)
+        codes = cut_lineage(value_codes(df, c), "codes")
+        size = F.sum(F.octet_length(F.col("value").cast("string")) + 16)
+        facts = codes.agg(F.count("*").alias("values"), F.sum("rows").alias("rows"), size.alias("bytes")).first()
+        if (facts["bytes"] or 0) <= BROADCAST_BYTES:
+            df = _attach_small(df, c, codes)
+        else:
+            df = _attach_large(df, c, codes, facts["rows"])
         affected.append({"column": c, "categories": facts["values"]})
     return df.select(*map(col, order)), {"method": "label", "affected": affected}
 
 
-def _attach(df: DataFrame, column: str, codes: DataFrame, values: int, rows: int) -> DataFrame:
-    """Replace the column by its code; a small code table is broadcast, hot values are salted otherwise."""
-    others = [col(c) for c in df.columns if c != column]
-    table = codes.select(F.col("value").alias("__value"), F.col("code").alias("__code"), "rows")
-    if values <= BROADCAST_CODES:
-        found = df.join(F.broadcast(table.drop("rows")), col(column) == F.col("__value"), "left")
-        return found.select(*others, F.col("__code").alias(column))
+def _attach_small(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
+    """Replace the column by its code through a broadcast of the codes, whose bytes were counted."""
+    table = codes.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+    found = df.join(F.broadcast(table), col(column) == F.col("__value"), "left")
+    return found.select(*[col(c) for c in df.columns if c != column], F.col("__code").alias(column))
+
 
+def _attach_large(df: DataFrame, column: str, codes: DataFrame, rows: int) -> DataFrame:
+    """Replace the column by its code through a shuffle in which nulls and hot values are spread."""
+    others = [col(c) for c in df.columns if c != column]
     # Fewer than HOT_SHARE values can each hold more than that share, so this list has a bound.
-    hot = [r["__value"] for r in table.where(F.col("rows") > rows / HOT_SHARE).select("__value").collect()]
-    spread = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.floor(F.rand() * SALTS).cast("int")
-    salt = F.when(col(column).isNull() | col(column).isin(hot), spread).otherwise(0)
-    copies = F.when(F.col("__value").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    table = table.select("__value", "__code", F.explode(copies).alias("__copy"))
-    salted = df.withColumn("__salt", salt)
+    frequent = codes.where(F.col("rows") > rows / HOT_SHARE)
+    hot = [r["h"] for r in frequent.select(F.xxhash64("value").alias("h")).distinct().collect()]
+
+    def is_hot(value: Column) -> Column:
+        return F.xxhash64(value).isin(hot)
+
+    spread = F.floor(F.rand() * SALTS).cast("int") if not others else F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")
+    salted = df.withColumn("__salt", F.when(col(column).isNull() | is_hot(col(column)), spread).otherwise(0))
+    copies = F.when(is_hot(F.col("value")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    table = codes.select(F.col("value").alias("__value"), F.col("code").alias("__code"), F.explode(copies).alias("__copy"))
     same = (col(column) == F.col("__value")) & (F.col("__salt") == F.col("__copy"))
     return salted.join(table, same, "left").select(*others, F.col("__code").alias(column))
 

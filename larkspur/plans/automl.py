@@ -10,13 +10,14 @@ from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.types import col
 from larkspur.operators.estimators import Entry, list_for_task, slot_importances
 from larkspur.operators.features import features_target, fit_features
 from larkspur.operators.metrics import classification_metrics, regression_metrics
+from larkspur.operators.ranking import rank_within
 from larkspur.operators.split import train_test_split
 
 log = logging.getLogger(__name__)
@@ -74,9 +75,7 @@ def auto_train(
     entries = list_for_task(task)
     train, test = train_test_split(df.where(col(target).isNotNull()), test_size, seed, key)
     prepared = fit_features(train, target, task, features)
-    kept = features_target(train, prepared).persist(StorageLevel.MEMORY_AND_DISK)
-    # Tree growing runs a job per level: a small table in many partitions would be all overhead.
-    train_xy = kept.coalesce(kept.count() // ROWS_PER_TASK + 1)
+    train_xy = _spread(features_target(train, prepared))
     # Classes that only the test side has can never be predicted; they keep a label of their own.
     test_xy = features_target(test, prepared).fillna({"label": -1.0}).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -103,12 +102,30 @@ def auto_train(
         else:
             found = [fit(i, e) for i, e in enumerate(entries)]
     finally:
-        kept.unpersist()
+        train_xy.unpersist()
         test_xy.unpersist()
     results = [r for r in found if r is not None]
     return AutoTrain(task, target, results, leaderboard(df.sparkSession, results, task))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Keep the training rows in as many partitions as their number and the cluster call for.
+
+    Growing trees runs a job per level, so a small table in many partitions is all overhead and a
+    large one in few leaves cores idle. Data that already fills the cluster is not shuffled.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows, parts = kept.count(), kept.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(rows // ROWS_PER_TASK + 1, max(parts, cores))
+    if wanted == parts:
+        return kept
+    spread = (kept.repartition(wanted) if wanted > parts else kept.coalesce(wanted)).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    kept.unpersist()
+    return spread
+
+
 def leaderboard(spark: SparkSession, results: list[TrainResult], task: str) -> DataFrame:
     rows = [(r.name, r.metrics, r.train_time_sec, r.feature_importance, r.position) for r in results]
     return sort_leaderboard(spark.createDataFrame(rows, LEADERBOARD_SCHEMA), task)
@@ -127,8 +144,8 @@ def leaderboard_rank(experiments: DataFrame) -> DataFrame:
     """Rank experiments by their task's primary metric within each dataset: adds `rank`."""
     primary = F.create_map(*[F.lit(x) for pair in PRIMARY.items() for x in pair])
     score = F.col("metrics")[primary[F.col("task_type")]]
-    order = Window.partitionBy("dataset_id", "task_type").orderBy(score.desc_nulls_last(), "created_at", "model_type")
-    return experiments.withColumn("rank", F.row_number().over(order))
+    order = [score.desc_nulls_last(), F.col("created_at"), F.col("model_type")]
+    return rank_within(experiments, ["dataset_id", "task_type"], order)
 
 
 def save_model(model: PipelineModel, path: str) -> str:

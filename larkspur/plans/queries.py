@@ -446,7 +446,7 @@ def _ingested(spark: SparkSession, sf_dir: str, anew: bool = False) -> tuple[K.C
     if anew or key not in _CATALOGS:
         landed = _land_orders(spark, sf_dir)
         store = K.Catalog(spark, shared_path(spark, "catalog"))
-        ingest.ingest(spark, landed, store, "ws", samples=True)
+        ingest.ingest(spark, landed, store, "ws")
         checked = readers.guard_files(spark, landed)
         ids = checked.select(
             X.stable_id(F.col("path"), F.unix_micros("modified"), F.col("file_size")).alias("id"),
@@ -602,7 +602,7 @@ def leaderboard_rank(spark, sf_dir):
         "created_at",
     )
     ranked = automl.leaderboard_rank(experiments)
-    return ranked.select("dataset_id", "model_type", F.col("metrics")["r2"].alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ranked.select("dataset_id", "model_type", F.col("metrics")["r2"].alias("score"), "rank")
 
 
 @query

@@ -160,13 +160,18 @@ def _learn_headers(spark: SparkSession, file_format: str, files: list[_File], ma
     elif file_format in ("json", "jsonl", "ndjson"):
         text = F.trim(F.col("content").cast("string"))
         listed = text.startswith("[")
-        lines = F.transform(F.split(text, "\n"), lambda x: F.from_json(x, "map<string,string>"))
-        records = F.when(listed, F.from_json(text, "array<map<string,string>>")).otherwise(lines)
-        names = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(records, F.isnotnull), F.map_keys))))
-        found = _contents(spark, files, max_mb).select("path", listed.alias("listed"), names.alias("names"))
+        records = F.when(listed, F.from_json(text, "array<string>")).otherwise(F.split(text, "\n"))
+        found = (
+            _contents(spark, files, max_mb)
+            .select("path", listed.alias("listed"), F.explode(records).alias("record"))
+            .select("path", "listed", F.explode(F.json_object_keys("record")).alias("name"))
+            .groupBy("path", "listed")
+            .agg(F.array_sort(F.collect_set("name")).alias("names"))
+        )
         for r in found.collect():
             file = known[r["path"]]
-            file.header, file.variant = tuple(r["names"] or ()), "array" if r["listed"] else "lines"
+            file.header, file.variant = tuple(r["names"]), "array" if r["listed"] else "lines"
+        for file in files:
             if not file.header:
                 file.fail("no JSON records")
     elif file_format == "parquet":

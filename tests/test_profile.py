@@ -122,3 +122,10 @@ def test_outlier_report(spark):
     row = P.outlier_report(df).first()
     assert (row["q1"], row["q3"], row["outliers"]) == (2.5, 7.5, 1)
     assert P.outlier_report(spark.createDataFrame([(None,)], "a double")).count() == 0
+
+
+def test_approximate_counts(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 10).alias("few"))
+    found = {r["column_name"]: r for r in P.profile(df, approximate=True).collect()}
+    assert found["few"]["unique_count"] == 10 and found["few"]["null_count"] == 500
+    assert found["id"]["unique_count"] == pytest.approx(5000, rel=0.2)

@@ -109,7 +109,7 @@ def test_one_hot_limit_and_default_choice(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_label_codes(spark, monkeypatch, small):
     if not small:  # the way for large code tables, with a hot value and hot nulls
-        monkeypatch.setattr(S, "BROADCAST_CODES", 0)
+        monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(S, "HOT_SHARE", 4)
     values = [f"v{i:03}" for i in range(200)] + ["v050"] * 150 + [None] * 150
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, value string").repartition(5)
