@@ -6,7 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline as Stages
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    Imputer,
+    IndexToString,
+    OneHotEncoder,
+    SQLTransformer,
+    StringIndexer,
+    VectorAssembler,
+    VectorSizeHint,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +90,7 @@ def fit_features(
     if not (numeric or categorical or vectors):
         raise ValueError("no usable feature column")
 
+    known = df.where(col(target).isNotNull())
     stages, inputs = [], []
     casts = [f"CAST({_sql(c)} AS DOUBLE) AS `__n{i}`" for i, c in enumerate(numeric)]
     casts += [f"CAST({_sql(c)} AS STRING) AS `__c{i}`" for i, c in enumerate(categorical)]
@@ -100,9 +109,10 @@ def fit_features(
         )
         stages.append(OneHotEncoder(inputCols=indexes, outputCols=flags, dropLast=False))
         inputs += flags
+    widths = {c: known.where(col(c).isNotNull()).select(col(c)).first()[0].size for c in vectors}
+    stages += [VectorSizeHint(inputCol=c, size=widths[c]) for c in vectors]
     stages.append(VectorAssembler(inputCols=inputs + vectors, outputCol="features", handleInvalid="keep"))
 
-    known = df.where(col(target).isNotNull())
     classes: list[str] = []
     if task == "classification":
         rough = known.agg(F.approx_count_distinct(col(target))).first()[0]
@@ -119,7 +129,7 @@ def fit_features(
     for c, size in zip(categorical, sizes):
         slots += [c] * size
     for c in vectors:
-        slots += [c] * known.select(col(c)).first()[0].size
+        slots += [c] * widths[c]
     return Features(model, target, task, numeric, categorical + vectors, classes, slots)
 
 

@@ -49,6 +49,8 @@ def _profile(source: str, columns: dict[str, str]) -> str:
 
 ORACLE["profile_lineitem"] = _profile("lineitem", LINEITEM)
 ORACLE["profile_nulls"] = _profile(NULLS, EVENTS)
+ORACLE["row_count"] = "SELECT count(*) AS row_count FROM lineitem"
+ORACLE["profile_column"] = f"SELECT column_name, row_count, null_count, unique_count, mean, std FROM ({_profile(NULLS, {'value': 'Float64'})})"
 ORACLE["profile_documents"] = _profile("documents", DOCUMENTS)
 ORACLE["profile_by_group"] = " UNION ALL ".join(
     f"SELECT l_returnflag, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
@@ -290,3 +292,5 @@ ORACLE["leaderboard_rank"] = """
     SELECT dataset_id, model_type, score, row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, k, model_type) AS rank FROM
     (SELECT o_custkey AS dataset_id, o_orderpriority AS model_type, max(o_totalprice) AS score, min(o_orderkey) AS k
      FROM orders GROUP BY 1, 2)"""
+ORACLE["saved_model_agrees"] = """SELECT count(*) AS row_count, 0::BIGINT AS changed
+    FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""

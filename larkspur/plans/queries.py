@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +70,19 @@ def profile_nulls(spark, sf_dir):
     return flat_profile(with_nulls(spark, sf_dir))
 
 
+@query
+def row_count(spark, sf_dir):
+    return profile.row_count(table(spark, sf_dir, "lineitem"))
+
+
+@query
+def profile_column(spark, sf_dir):
+    found = profile.profile_column(with_nulls(spark, sf_dir), "value")
+    return found.select(
+        "column_name", "row_count", "null_count", "unique_count", rounded("stats.mean").alias("mean"), rounded("stats.std").alias("std")
+    )
+
+
 @query
 def profile_documents(spark, sf_dir):
     return flat_profile(table(spark, sf_dir, "documents"))
@@ -640,6 +653,26 @@ def score_saved_model(spark, sf_dir):
     return automl.score(automl.load_model(path), labelled(spark, sf_dir)).select("doc_id", "prediction", "predicted")
 
 
+@query
+def saved_model_agrees(spark, sf_dir):
+    """Rows scored, and rows on which the reloaded model differs from the one that was saved."""
+    best, rows = _trained(spark, sf_dir).best, labelled(spark, sf_dir)
+    again = automl.load_model(automl.save_model(best.model, shared_path(spark, "model")))
+    first = automl.score(best.model, rows).select("doc_id", F.col("prediction").alias("before"))
+    second = automl.score(again, rows).select("doc_id", F.col("prediction").alias("after"))
+    return first.join(second, "doc_id").agg(
+        F.count("*").alias("row_count"), F.count_if(F.col("before") != F.col("after")).alias("changed")
+    )
+
+
+@query
+def auto_train_classes(spark, sf_dir):
+    """Ten classes from vectors: boosted trees are trained one class against the rest."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", array_to_vector("embedding"))
+    few = {"gbt_classifier": {"maxIter": 2, "maxDepth": 3}}
+    return automl.auto_train(vectors, "label", key=["vec_id"], features=["embedding"], hyperparams=few).leaderboard
+
+
 @query
 def feature_importance(spark, sf_dir):
     trained = _trained(spark, sf_dir)

@@ -10,6 +10,7 @@ import csv
 import io
 import logging
 import re
+import sys
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -17,7 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import inheritable_thread_target
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ from larkspur.sources.readers import BAD_RECORD, MAX_MB, READERS, checked_files,
 
 log = logging.getLogger(__name__)
 
+# Executors need no installed copy of this module: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FILES_PER_GROUP = 5_000  # paths handed to one read
 GROUPS_AT_A_TIME = 6  # groups whose jobs run side by side
 SEPARATORS = {"csv": ",", "tsv": "\t"}  # fixed values: text formats and their separators
