@@ -6,6 +6,7 @@ sampled points) is ever fetched, by `Chart.spec`. New chart types register with
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from larkspur.functions.scalars import bar_title, finite_only, histogram_title
 from larkspur.functions.types import check_columns, col, is_fractional, is_numeric, numeric_columns
 from larkspur.operators.columns import equals
-from larkspur.operators.profile import categorical_columns, correlation_matrix, value_counts
+from larkspur.operators.profile import categorical_columns, correlation_matrix, count_name, value_counts
 
 # The chart and axis types a spec may name.
 CHART_TYPES = ("bar", "line", "scatter", "histogram", "heatmap", "pie")
@@ -120,8 +121,6 @@ def validate_chart(spec: dict[str, Any]) -> dict[str, Any]:
 
 def chart_frame(spark: SparkSession, specs: Iterable[dict[str, Any]]) -> DataFrame:
     """Specs as rows of CHART_SCHEMA; data points and metadata as JSON."""
-    import json
-
     rows = [
         {
             **{k: s[k] for k in ("type", "title", "x_axis", "y_axis")},
@@ -198,7 +197,7 @@ def _binned(df: DataFrame, ranges: dict[str, _Bins]) -> DataFrame:
 
 def histogram_rows(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
     """Histograms of several numeric columns: (column_name, bin, count), empty bins with 0."""
-    return _histogram_rows(df, *_ranges(df, columns, bins)[:1])
+    return _histogram_rows(df, _ranges(df, columns, bins)[0])
 
 
 def _histogram_rows(df: DataFrame, ranges: dict[str, _Bins]) -> DataFrame:
@@ -241,7 +240,7 @@ def _histogram_chart(column: str, data: DataFrame, left_out: int) -> Chart:
 
 def top_k_categories(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     """The k most frequent values, null included; equal counts by value, nulls last."""
-    return value_counts(df, column).orderBy(F.desc("count"), col(column).asc_nulls_last()).limit(k)
+    return value_counts(df, column).orderBy(F.desc(count_name(column)), col(column).asc_nulls_last()).limit(k)
 
 
 @register_chart("bar")
@@ -254,7 +253,7 @@ def _bar_chart(column: str, top_k: int, data: DataFrame) -> Chart:
         "bar",
         bar_title(column, top_k),
         Axis(column, column, "category"),
-        Axis("count", "Count", "numeric"),
+        Axis(count_name(column), "Count", "numeric"),
         column,
         data,
     )
@@ -263,7 +262,8 @@ def _bar_chart(column: str, top_k: int, data: DataFrame) -> Chart:
 @register_chart("pie")
 def pie(df: DataFrame, column: str, top_k: int = 10) -> Chart:
     """The k most frequent values with their share of all rows, and the rest as "Other"."""
-    top = top_k_categories(df, column, top_k).select(col(column).cast("string").alias("category"), "count").collect()
+    top = top_k_categories(df, column, top_k).toDF("category", "count")
+    top = top.withColumn("category", F.col("category").cast("string")).collect()
     total = df.count()
     rest = total - sum(r["count"] for r in top)
     rows = [(r["category"], r["count"], r["count"] / total) for r in top]
@@ -413,7 +413,7 @@ def auto_charts(df: DataFrame, bins: int = 30, max_categories: int = 50, top_k:
             charts.append(_histogram_chart(c, spark.createDataFrame(points, "bin double, count bigint"), left_out[c]))
         elif c in categories:
             ranked = sorted(rows, key=lambda r: (-r["count"], r["category"] is None, r["category"] or ""))[:top_k]
-            schema = T.StructType([T.StructField(c, T.StringType()), T.StructField("count", T.LongType())])
+            schema = T.StructType([T.StructField(c, T.StringType()), T.StructField(count_name(c), T.LongType())])
             data = spark.createDataFrame([(r["category"], r["count"]) for r in ranked], schema)
             charts.append(_bar_chart(c, top_k, data))
     return charts

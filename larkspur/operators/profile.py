@@ -59,7 +59,12 @@ def columns_with_nulls(df: DataFrame) -> list[str]:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value; null is a value."""
     check_columns(df, [column])
-    return df.groupBy(col(column)).agg(F.count("*").alias("count"))
+    return df.groupBy(col(column)).agg(F.count("*").alias(count_name(column)))
+
+
+def count_name(column: str) -> str:
+    """The name of the count next to `column`, which may itself be called `count`."""
+    return "count" if column != "count" else "rows"
 
 
 # --- distinct values ----------------------------------------------------------------------------
@@ -101,14 +106,14 @@ def unique_counts(df: DataFrame, columns: list[str] | None = None, by: list[str]
     keys = [col(b) for b in by]
     for data_type, members in _families(df, columns):
         wide = df.select(*keys, *[_key(data_type, value).alias(str(i)) for i, value in members])
-        long = wide.unpivot(keys, [col(str(i)) for i, _ in members], "position", "value")
+        long = wide.unpivot(keys, [col(str(i)) for i, _ in members], "__position", "__value")
         parts.append(
-            long.groupBy(*keys, "position", "value")
+            long.groupBy(*keys, "__position", "__value")
             .agg(F.count("*").alias("n"))
-            .groupBy(*keys, "position")
+            .groupBy(*keys, F.col("__position").cast("int").alias("position"))
             .agg(F.count("*").alias("unique_count"))
         )
-    return reduce(DataFrame.unionByName, parts).withColumn("position", F.col("position").cast("int"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _rough_unique_count(df: DataFrame, column: str) -> Column:
@@ -128,20 +133,20 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 5, b
     for _, members in _families(df, columns):
         wide = df.select(*keys, *[value.alias(str(i)) for i, value in members])
         counts = (
-            wide.unpivot(keys, [col(str(i)) for i, _ in members], "position", "value")
-            .where(F.col("value").isNotNull())
-            .groupBy(*keys, "position", "value")
+            wide.unpivot(keys, [col(str(i)) for i, _ in members], "__position", "__value")
+            .where(F.col("__value").isNotNull())
+            .groupBy(*keys, "__position", "__value")
             .agg(F.count("*").alias("count"))
         )
-        order = Window.partitionBy(*keys, "position").orderBy(F.desc("count"), F.asc("value"))
+        order = Window.partitionBy(*keys, "__position").orderBy(F.desc("count"), F.asc("__value"))
         parts.append(
             counts.withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= n)
-            .withColumn("value", F.col("value").cast("string"))
+            .withColumn("__value", F.col("__value").cast("string"))
         )
     names = F.array(*[F.lit(c) for c in columns])
     return reduce(DataFrame.unionByName, parts).select(
-        *keys, F.get(names, F.col("position").cast("int")).alias("column_name"), "value", "count", "rank"
+        *keys, F.get(names, F.col("__position").cast("int")).alias("column_name"), F.col("__value").alias("value"), "count", "rank"
     )
 
 

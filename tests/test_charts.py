@@ -142,3 +142,13 @@ def test_register_chart(people):
 def test_importance_chart(spark):
     assert [p["feature"] for p in points(C.importance_chart(spark, "m", {"a": 0.2, "b": 0.8}))] == ["b", "a"]
     assert points(C.importance_chart(spark, "m", None)) == []
+
+
+def test_columns_named_like_our_own(spark):
+    rows = [("a", 1, "x", "p"), ("a", 2, "x", "q"), ("b", 3, "y", "q")]
+    df = spark.createDataFrame(rows, "count string, position int, value string, category string")
+    assert points(C.bar(df, "count")) == [{"count": "a", "rows": 2}, {"count": "b", "rows": 1}]
+    assert [p["count"] for p in points(C.pie(df, "count"))] == [2, 1]
+    assert [c.type for c in C.auto_charts(df, bins=2)] == ["bar", "histogram", "bar", "bar"]
+    for chart in C.auto_charts(df, bins=2):
+        chart.spec()

@@ -129,3 +129,10 @@ def test_approximate_counts(spark):
     found = {r["column_name"]: r for r in P.profile(df, approximate=True).collect()}
     assert found["few"]["unique_count"] == 10 and found["few"]["null_count"] == 500
     assert found["id"]["unique_count"] == pytest.approx(5000, rel=0.2)
+
+
+def test_groups_named_like_our_own(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("b", 2, 2.0)], "value string, n int, count double")
+    found = {(r["value"], r["column_name"]): r["unique_count"] for r in P.profile(df, by=["value"]).collect()}
+    assert found == {("a", "n"): 1, ("a", "count"): 2, ("b", "n"): 1, ("b", "count"): 1}
+    assert P.sample_values(df.select("value", "n"), n=1).count() == 2
