@@ -276,36 +276,46 @@ def _pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
 
 
+def _centred_pearson(x: Column, y: Column) -> Column:
+    """Correlation of columns without gaps whose mean was taken off: plain sums, shared by all pairs."""
+    return F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present: [x, y, correlation].
 
     The diagonal is 1, a column without variance gives null. Pairs share passes, `PAIRS_PER_PASS` each.
     """
     columns = check_columns(df, list(columns)) if columns is not None else numeric_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "x string, y string, correlation double")
+    values = {c: finite_only(col(c)) for c in columns}
+    facts = [
+        F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.min(v) < F.max(v)).alias("varies")) for v in values.values()
+    ]
+    row = df.agg(F.count("*").alias("rows"), *[f.alias(f"c{i}") for i, f in enumerate(facts)]).first()
+    fact = {c: row[f"c{i}"] for i, c in enumerate(columns)}
+
+    # Where nothing is missing, the mean is taken off first and sums of products are enough.
+    whole = {c for c in columns if fact[c]["n"] == row["rows"] and row["rows"]}
+    centred = df.select(
+        *[(values[c] - F.lit(fact[c]["mean"] if c in whole else 0.0)).alias(str(i)) for i, c in enumerate(columns)]
+    )
+    place = {c: col(str(i)) for i, c in enumerate(columns)}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    both = []
+    pairs.sort(key=lambda p: not whole.issuperset(p))
+    parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        entries = [
-            F.struct(
-                F.lit(a).alias("x"),
-                F.lit(b).alias("y"),
-                _pearson(finite_only(col(a)), finite_only(col(b))).alias("correlation"),
-            )
-            for a, b in pairs[start : start + PAIRS_PER_PASS]
-        ]
-        upper = df.agg(F.array(*entries).alias("p")).select(F.explode("p").alias("p"))
-        both.append(
-            upper.select(
-                F.inline(
-                    F.array(
-                        F.col("p"),
-                        F.struct(F.col("p.y").alias("x"), F.col("p.x").alias("y"), F.col("p.correlation")),
-                    )
-                )
-            )
-        )
+        entries = []
+        for a, b in pairs[start : start + PAIRS_PER_PASS]:
+            if not (fact[a]["varies"] and fact[b]["varies"]):
+                value = F.lit(None).cast("double")
+            else:
+                value = (_centred_pearson if whole.issuperset((a, b)) else _pearson)(place[a], place[b])
+            entries += [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), value.alias("correlation")) for x, y in ((a, b), (b, a))]
+        parts.append(centred.agg(F.array(*entries).alias("p")).select(F.inline("p")))
     diagonal = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "x string, y string, correlation double")
-    return reduce(DataFrame.unionByName, [*both, diagonal])
+    return reduce(DataFrame.unionByName, [*parts, diagonal])
 
 
 def fences(
