@@ -234,10 +234,9 @@ def profile_json(df: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def profile_dict(df: DataFrame) -> dict[str, Any]:
     """The nested profile as a driver value; one entry per column. Columns without numbers carry no stats."""
-    found = dataset_profile(df).first()
-    if found is None:
+    if not df.columns:
         return {"row_count": df.count(), "column_count": 0, "columns": []}
-    result = found.asDict(recursive=True)
+    result = dataset_profile(df).first().asDict(recursive=True)
     for entry in result["columns"]:
         if entry["stats"] is None:
             del entry["stats"]

@@ -34,21 +34,26 @@ def _choice(kinds: Column) -> Column:
     )
 
 
+def kinds(columns: list[str]) -> list[Column]:
+    """The kind of every value, to be projected before `type_choices` aggregates it."""
+    return [_kind(col(c)).alias(f"__kind{i}") for i, c in enumerate(columns)]
+
+
 def type_choices(columns: list[str]) -> Column:
-    """Aggregate that gives the types of text columns, in order, as an array of type names.
+    """Aggregate over projected `kinds`: the types of text columns, in order, as an array of type names.
 
     bigint if every present value is a whole number, else double, else boolean (true / false), else
     string; a column without values is a string, and dates stay strings. Every value is looked at
     once, and a column needs one integer of state.
     """
-    return F.array(*[_choice(F.bit_or(_kind(col(c)))) for c in columns])
+    return F.array(*[_choice(F.bit_or(f"__kind{i}")) for i in range(len(columns))])
 
 
 def infer_schema(df: DataFrame) -> dict[str, str]:
     """Types of all text columns, from one aggregate over all rows."""
     if not df.columns:
         return {}
-    return dict(zip(df.columns, df.agg(type_choices(df.columns)).first()[0]))
+    return dict(zip(df.columns, df.select(*kinds(df.columns)).agg(type_choices(df.columns)).first()[0]))
 
 
 def apply_schema(df: DataFrame, types: dict[str, str]) -> DataFrame:

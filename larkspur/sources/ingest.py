@@ -28,7 +28,7 @@ from larkspur.operators.profile import profile, sample_values
 from larkspur.session import cut_lineage
 from larkspur.sources.catalog import Catalog
 from larkspur.sources.excel import cell_types, typed_cells, workbook_cells
-from larkspur.sources.infer import type_choices
+from larkspur.sources.infer import kinds, type_choices
 from larkspur.sources.readers import BAD_RECORD, MAX_MB, READERS, checked_files, raw_text, too_long
 
 log = logging.getLogger(__name__)
@@ -301,9 +301,10 @@ def _typed_text(spark: SparkSession, sep: str, files: list[_File]) -> Iterator[t
         paths = [_literal(f.path) for f in members]
         return raw_text(spark, paths, header, sep, multi_line=True).withColumn("__path", _source_path())
 
-    facts = raw(files).groupBy("__path").agg(
+    looked_at = raw(files).select("__path", *kinds(header), too_long(header, sep).alias("__long"))
+    facts = looked_at.groupBy("__path").agg(
         type_choices(header).alias("types"),
-        F.count_if(too_long(header, sep)).alias("long"),
+        F.count_if("__long").alias("long"),
         F.count("*").alias("rows"),
     )
     found = {r["__path"]: r for r in facts.collect()}

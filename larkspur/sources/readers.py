@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from larkspur.functions.scalars import file_format, file_name, file_suffix
 from larkspur.functions.types import col
 from larkspur.sources.excel import read_workbooks
-from larkspur.sources.infer import apply_schema, type_choices
+from larkspur.sources.infer import apply_schema, kinds, type_choices
 
 MAX_MB = 50  # fixed value: the largest upload
 SPLIT_BYTES = 128 * 1024 * 1024
@@ -102,7 +102,8 @@ def read_csv(
     if not header:
         raise ValueError(f"no columns in {path}")
     raw = raw_text(spark, [path], header, sep, multi_line)
-    found = raw.agg(type_choices(header).alias("types"), F.count_if(too_long(header, sep)).alias("long")).first()
+    looked_at = raw.select(*kinds(header), too_long(header, sep).alias("__long"))
+    found = looked_at.agg(type_choices(header).alias("types"), F.count_if("__long").alias("long")).first()
     if found["long"]:
         raise ValueError(f"{found['long']} rows of {path} have more fields than the header")
     table = raw.drop(BAD_RECORD)

@@ -30,6 +30,7 @@ def test_empty_frame(spark):
     assert found["row_count"] == 0
     assert [(c["null_count"], c["unique_count"]) for c in found["columns"]] == [(0, 0), (0, 0)]
     assert all("stats" not in c for c in found["columns"])
+    assert P.profile_dict(spark.range(3).select()) == {"row_count": 3, "column_count": 0, "columns": []}
 
 
 def test_one_row_has_zero_deviation(spark):
