@@ -57,10 +57,9 @@ def _mixed(state: np.ndarray, more: np.ndarray | np.uint64) -> np.ndarray:
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, words per text, shingle hashes (repeats included), and shingles per text."""
-    lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    lists = pc.ascii_split_whitespace(lower)
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     coded = pc.list_flatten(lists).dictionary_encode()
-    words = coded.dictionary.to_numpy(zero_copy_only=False)
+    words = pc.ascii_lower(coded.dictionary).to_numpy(zero_copy_only=False)
     hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.empty(0, dtype=np.uint64)
     hashes[words == ""] = 0  # where white space begins or ends a text
     each = hashes[np.asarray(coded.indices)]

@@ -6,7 +6,7 @@ documents of each pattern matters, so expectation-maximisation runs over all doc
 are. The posterior of a document's pattern is its label in the training of a linear scorer over hashed words and word shapes:
 distributed gradients over a bounded sample (`SAMPLE` documents with the smallest hashes). All documents are scored.
 
-Null and empty texts get no vote but "too few words", have no features, and score by the bias alone. Repeated rows score alike.
+Null and empty texts get votes for good only (nothing in them is odd), have no features, and score by the bias alone. Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ STEPS = 15
 RATE = 0.3
 RIDGE = 1e-6
 THRESHOLD = 0.5
-FALSE_ALARMS = 0.01
+FALSE_ALARMS = 0.002
 CHUNK_BYTES = 4_000_000
 
 #: Labellers: measure, bad from (at least), good up to (at most); between the two they say nothing.
@@ -82,12 +82,12 @@ def measures(words: Words) -> np.ndarray:
     pairs, times = np.unique(words.of * max(len(distinct), 1) + words.code, return_counts=True)
     top = np.zeros(words.texts)
     np.maximum.at(top, pairs // max(len(distinct), 1), times)
-    enough = words.counts >= 20  # a frequent word says little in a short text
+    few, enough = words.counts < 5, words.counts >= 20  # capitals and frequent words say little in short texts
     return np.stack(
         [
             words.share(~words.matches(r"[\p{L}\p{N}]")) / n,
             words.share(symbols) / np.maximum(words.share(length), 1),
-            words.share(capital) / np.maximum(words.share(letters), 1),
+            np.where(few, 0.2, words.share(capital) / np.maximum(words.share(letters), 1)),
             again / n,
             words.share(words.matches(r"[\p{L}\p{N}][!-/:-@\[-`{-~]{2,}$")) / n,
             np.where(enough, top / n, 0.2),
@@ -111,14 +111,17 @@ def shapes(distinct: pa.Array) -> np.ndarray:
     return pc.replace_substring_regex(out, r"[0-9]+", "0").to_numpy(zero_copy_only=False)
 
 
-def features(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of each text, the bucket of the word and that of its shape."""
+def features(words: Words, buckets: int) -> np.ndarray:
+    """For each word of each text, the buckets of the word, of its shape, and of whether it is the word before again."""
     text = words.distinct.to_numpy(zero_copy_only=False)
     if not len(text):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    word = (pd.util.hash_array(text, categorize=False) % np.uint64(buckets)).astype(np.int64)
-    shape = (pd.util.hash_array(shapes(words.distinct) + "\x00", categorize=False) % np.uint64(buckets)).astype(np.int64)
-    return word[words.code], shape[words.code]
+        return np.empty((0, 3), dtype=np.int64)
+    word = pd.util.hash_array(text, categorize=False) % np.uint64(buckets)
+    shape = pd.util.hash_array(shapes(words.distinct) + "\x00", categorize=False) % np.uint64(buckets)
+    same = np.zeros(len(words.code), dtype=np.int64)
+    same[1:] = (words.code[1:] == words.code[:-1]) & (words.of[1:] == words.of[:-1])
+    again = (pd.util.hash_array(np.array(["\x00new", "\x00again"], dtype=object), categorize=False) % np.uint64(buckets))[same]
+    return np.stack([word[words.code], shape[words.code], again], axis=1).astype(np.int64)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -134,20 +137,20 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of "bad" for each pattern of votes, each labeller's P(vote | class), and the share of bad documents.
 
-    Votes of one labeller have three values, with a small prior that keeps them possible. Starts from "any vote for bad", and
-    holds labellers to few false alarms (`FALSE_ALARMS`): a kind of badness that only one of them sees would else pass as good.
+    Saying nothing is no evidence. A small prior keeps both votes possible. Starts from "any vote for bad", and holds labellers
+    to few false alarms (`FALSE_ALARMS`): a kind of badness that few of them see would else pass as good.
     """
     total = max(float(counts.sum()), 1.0)
-    one_hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(np.float64)  # pattern, labeller, vote
+    one_hot = np.stack([patterns == v for v in (-1, 1)], axis=2).astype(np.float64)  # pattern, labeller, vote
     posterior = np.where((patterns > 0).any(axis=1), 0.95, 0.05)
-    prior, likely = 0.5, np.ones((2, patterns.shape[1], 3)) / 3
+    prior, likely = 0.5, np.full((2, patterns.shape[1], 2), 0.5)
     for _ in range(rounds):
         weight = np.stack([(1 - posterior) * counts, posterior * counts])
         prior = float(np.clip(weight[1].sum() / total, 1e-4, 1 - 1e-4))
         likely = np.einsum("cp,plv->clv", weight, one_hot) + 1e-4 * total
         likely /= likely.sum(axis=2, keepdims=True)
-        likely[0, :, 2] = np.minimum(likely[0, :, 2], FALSE_ALARMS)
-        likely[0, :, :2] *= ((1 - likely[0, :, 2]) / likely[0, :, :2].sum(axis=1))[:, None]
+        likely[0, :, 1] = np.minimum(likely[0, :, 1], FALSE_ALARMS)
+        likely[0, :, 0] = 1 - likely[0, :, 1]
         logs = np.einsum("plv,clv->cp", one_hot, np.log(likely)) + np.log([[1 - prior], [prior]])
         fresh = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
         if np.abs(fresh - posterior).max(initial=0) < 1e-9:
@@ -197,10 +200,9 @@ def train(df: DataFrame, text: str, key: str, learned: dict[int, float], buckets
             for part in _slices(batch):
                 words = Words(part.column("text"))
                 cast = (votes(measures(words)).astype(np.int64) + 1) @ powers
-                word, shape = features(words, buckets)
+                found = features(words, buckets).astype("<i4")
                 ends = np.cumsum(words.counts)
-                starts = (ends - words.counts).tolist()
-                body = [np.concatenate([word[a:b], shape[a:b]]).astype("<i4").tobytes() for a, b in zip(starts, ends.tolist(), strict=True)]
+                body = [found[a:b].tobytes() for a, b in zip((ends - words.counts).tolist(), ends.tolist(), strict=True)]
                 label = [learned.get(c, 0.5) for c in cast.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary()), pa.array(label, pa.float64())], names=["body", "label"])
 
@@ -257,9 +259,8 @@ def classify(
             for part in _slices(batch):
                 words = Words(part.column("text"))
                 cast = (votes(measures(words)).astype(np.int64) + 1) @ powers
-                word, shape = features(words, buckets)
-                sums = np.bincount(words.of, weights=weights[word] + weights[shape], minlength=words.texts)
-                margin = sums / np.maximum(2 * words.counts, 1) * SCALE + weights[-1]
+                sums = np.bincount(words.of, weights=weights[features(words, buckets)].sum(axis=1), minlength=words.texts)
+                margin = sums / np.maximum(3 * words.counts, 1) * SCALE + weights[-1]
                 good = 1 / (1 + np.exp(np.clip(margin, -30, 30)))
                 weak = [1 - learned.get(c, 0.5) for c in cast.tolist()]
                 yield pa.RecordBatch.from_arrays(
