@@ -39,6 +39,7 @@ LABELLERS = (
     ("same_again", 0.10, 0.02),  # words equal to the one before
     ("loud_ends", 0.10, 0.02),  # words that end in two marks or more
     ("top_word", 0.30, 0.15),  # share of the most frequent word
+    ("few_words", 0.85, 0.75),  # words that occurred before in the text
     ("unended", 0.995, 0.97),  # words without a full stop or comma at their end
 )
 
@@ -91,6 +92,7 @@ def measures(words: Words) -> np.ndarray:
             again / n,
             words.share(words.matches(r"[\p{L}\p{N}][!-/:-@\[-`{-~]{2,}$")) / n,
             np.where(enough, top / n, 0.2),
+            np.where(enough, 1 - np.bincount(pairs // max(len(distinct), 1), minlength=words.texts) / n, 0.8),
             np.where(enough, 1 - words.share(words.matches(r"[.,]$")) / n, 0.98),
         ],
         axis=1,
