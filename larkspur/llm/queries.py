@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkspur.llm import hnsw, huffman, mixing, neardup, packing, rules, sharding, weaklabels
+from larkspur.llm import hnsw, huffman, licenses, maxent, mixing, neardup, packing, rules, sharding, weaklabels
 
-MODULES = (sharding, rules, huffman, mixing, hnsw, neardup, weaklabels, packing)
+MODULES = (sharding, rules, huffman, mixing, hnsw, licenses, neardup, maxent, weaklabels, packing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
