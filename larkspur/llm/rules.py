@@ -116,7 +116,9 @@ def judge(
     measured = measured.withColumn("base_failed", failed)
     measured = measured.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    return measured.select(*[F.col("__row")[c].alias(c) for c in df.columns if c not in new], *new)
+    # a filter on the verdict stays above this step: pushed below, it would repeat every measure for each use of it
+    closed = measured.select("__row", F.explode(F.array(F.struct(*new))).alias("__found"))
+    return closed.select(*[F.col("__row")[c].alias(c) for c in df.columns if c not in new], "__found.*")
 
 
 def op2_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
