@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 VOCABULARY = "word_bpe_49k.json"
 
 #: Bytes of text that are encoded together, and pieces that a worker remembers.
-CHUNK_BYTES = 6_000_000
-REMEMBERED = 500_000
+CHUNK_BYTES = 4_000_000
+REMEMBERED = 250_000
 
 #: Texts of these characters alone are cut by pattern: lower-casing and composition leave such letters one letter each,
 #: a run of marks is one pretoken, and so is each digit. Others (apostrophes and "<" among them) are cut at spaces only.

@@ -29,7 +29,7 @@ RATE = 0.3
 RIDGE = 1e-6
 THRESHOLD = 0.5
 FALSE_ALARMS = 0.002
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 #: Labellers: measure, bad from (at least), good up to (at most); between the two they say nothing.
 LABELLERS = (
@@ -246,18 +246,24 @@ def _flat(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def classify(
     df: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, sample: int = SAMPLE, steps: int = STEPS,
-    threshold: float = THRESHOLD,
+    threshold: float = THRESHOLD, carry: list[str] | None = None,
 ) -> DataFrame:
-    """All rows with `weak_label` (posterior of "good" from the votes), `score` (P(good) by the scorer) and `kept`."""
+    """All rows with `weak_label` (posterior of "good" from the votes), `score` (P(good) by the scorer) and `kept`.
+
+    `carry` names the columns to return besides (all): they pass through the tasks that score, a text only once.
+    """
     learned = posteriors(voted(df, text, key))
     weights = train(df, text, key, learned, buckets, sample, steps)
     powers = 3 ** np.arange(len(LABELLERS))
     new = ["weak_label", "score", "kept"]
-    rest = [c for c in df.columns if c not in new]
-    held = df.select(F.struct(*[field(c) for c in rest]).alias("__row"), field(text).alias("text"))
+    rest = [c for c in (df.columns if carry is None else carry) if c not in new]
+    whole = text in rest
+    held = df.select(F.struct(*[field(c) for c in rest]).alias("__row"), *([] if whole else [field(text).alias("text")]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if whole:
+                batch = batch.append_column("text", pc.struct_field(batch.column("__row"), rest.index(text)))
             for part in _slices(batch):
                 words = Words(part.column("text"))
                 cast = (votes(measures(words)).astype(np.int64) + 1) @ powers
@@ -277,8 +283,7 @@ def classify(
 
 def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every document."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classify(documents).select("doc_id", "weak_label", "score", "kept")
+    return classify(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "weak_label", "score", "kept")
 
 
 QUERIES = {"op9_weak_labels": op9_weak_labels}
