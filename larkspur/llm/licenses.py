@@ -1,6 +1,6 @@
 """License scan by canonical digest.
 
-A text is made canonical: letters A-Z in lower case, lines that only state a copyright dropped, everything but letters and digits
+A text is made canonical: lower case, lines that only state a copyright dropped, everything but letters and digits
 a single space, and equivalent spellings brought to one. The SHA-256 of what is left is joined to the digests of known licences.
 Entire texts are joined, and so is every line of a text taken as a text of its own, which finds licence statements in longer documents.
 
@@ -53,21 +53,16 @@ SPELLINGS = {
     "https": "http",
 }
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9])[^\n]*"
 
 
 def canonical(text: Column) -> Column:
     """The text as it is compared. Characters outside ASCII stay, as they tell texts apart."""
-    low = F.translate(text, _UPPER, _LOWER)
-    low = F.regexp_replace(low, _COPYRIGHT, "\n")
+    low = F.regexp_replace(F.lower(text), _COPYRIGHT, "\n")
     low = F.concat(F.lit(" "), F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
-    # a rare step: most texts hold none of these
-    odd = low.rlike(" (" + "|".join(SPELLINGS) + ") ")
-    changed = low
     for old, new in SPELLINGS.items():
-        changed = F.replace(changed, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(F.regexp_replace(F.when(odd, changed).otherwise(low), " +", " "))
+        low = F.replace(low, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.trim(low)
 
 
 def digest(text: Column) -> Column:
@@ -85,14 +80,14 @@ def scan(df: DataFrame, known: DataFrame, text: str = "text", key: str = "doc_id
     """One row per row of `df`: the key, digest, license (of the entire text) and line_licenses (names, in order, by commas)."""
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    named = df.select(field(key).alias("__key"), field(text).alias("__text"), digest(field(text)).alias("digest"))
-    lines = named.select("__key", F.col("digest").alias("__of"), F.explode(F.split("__text", "\n")).alias("line"))
-    # only lines with a letter or digit can be licences; matched ones are few, and only they move
-    hits = lines.where(F.col("line").rlike("[A-Za-z0-9]")).select("__key", "__of", digest(F.col("line")).alias("digest")).join(known, "digest")
+    named = df.select(field(key).alias("__key"), field(text).alias("__text"), F.xxhash64(field(text)).alias("__of"))
+    # only lines with a letter or digit can be licences; each is digested once, and only the few that match move
+    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike("[A-Za-z0-9]"))
+    hits = named.select("__key", "__of", F.explode(F.transform(lines, digest)).alias("digest")).join(known, "digest")
     per_text = hits.groupBy("__key", "__of").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses"))
-    whole = named.drop("__text").join(known, "digest", "left")
-    same = F.col("__key").eqNullSafe(F.col("__key2")) & (F.col("digest") == F.col("__of"))
-    joined = whole.join(per_text.withColumnRenamed("__key", "__key2"), same, "left")
+    whole = named.select("__key", "__of", digest(F.col("__text")).alias("digest")).join(known, "digest", "left")
+    same = F.col("__key").eqNullSafe(F.col("__key2")) & (F.col("__of") == F.col("__of2"))
+    joined = whole.join(per_text.withColumnsRenamed({"__key": "__key2", "__of": "__of2"}), same, "left")
     return joined.select(F.col("__key").alias(key), "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 
 
@@ -107,11 +102,11 @@ def _sql_text(text: str) -> str:
 
 def _sql_canonical(text: str) -> str:
     """The same steps in DuckDB's functions."""
-    low = f"regexp_replace(translate({text}, '{_UPPER}', '{_LOWER}'), {_sql_text(_COPYRIGHT)}, chr(10), 'g')"
+    low = f"regexp_replace(lower({text}), {_sql_text(_COPYRIGHT)}, chr(10), 'g')"
     low = f"(' ' || regexp_replace({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') || ' ')"
     for old, new in SPELLINGS.items():
         low = f"replace({low}, ' {old} ', ' {new} ')"
-    return f"sha256(trim(regexp_replace({low}, ' +', ' ', 'g'), ' '))"
+    return f"sha256(trim({low}, ' '))"
 
 
 _VALUES = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, texts in KNOWN.items() for text in texts)
