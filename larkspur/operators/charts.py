@@ -268,7 +268,10 @@ def pie(df: DataFrame, column: str, top_k: int = 10) -> Chart:
     rest = total - sum(r["count"] for r in top)
     rows = [(r["category"], r["count"], r["count"] / total) for r in top]
     if rest:
-        rows.append(("Other", rest, rest / total))
+        other = "Other"
+        while other in {r["category"] for r in top}:  # a real category has that name
+            other += " (rest)"
+        rows.append((other, rest, rest / total))
     data = df.sparkSession.createDataFrame(rows, "category string, count bigint, share double")
     return Chart(
         "pie",
@@ -305,6 +308,10 @@ def is_complex(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.ArrayType, T.MapType, T.StructType))
 
 
+# What `date_trunc` can cut a time to.
+GRAINS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond")
+
+
 @register_chart("line")
 def line(df: DataFrame, time: str, value: str | None = None, grain: str = "day", how: str = "mean") -> Chart:
     """One point per `grain` of the time column: the row count, or mean / sum / min / max of `value`."""
@@ -312,6 +319,8 @@ def line(df: DataFrame, time: str, value: str | None = None, grain: str = "day",
     functions = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     if how not in functions:
         raise ValueError(f"unknown aggregate: {how}")
+    if grain.lower() not in GRAINS:
+        raise ValueError(f"unknown grain: {grain}")
     key = value or "count"
     aggregate = functions[how](finite_only(col(value))) if value else F.count("*")
     moment = F.date_trunc(grain, col(time)).alias(time)

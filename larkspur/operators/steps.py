@@ -159,18 +159,25 @@ def encode_categorical(
 ) -> tuple[DataFrame, Log]:
     """Encode categorical columns as indicators (`onehot`) or as 0..k-1 in value order (`label`).
 
-    Without `columns`, the non-numeric columns with at most `max_categories` values are taken. Naming
-    a column with more values is an error for one-hot, whose schema would have no bound; label
-    encoding takes any number of values.
+    Without `columns`, label encoding takes all non-numeric columns, whatever their number of values. One-hot, whose
+    schema would have no bound, takes those with at most `max_categories` values and logs the others as
+    `skipped`; naming such a column is an error.
     """
     if method not in ("onehot", "label"):
         raise ValueError(f"unknown method: {method}")
     if columns is not None:
         check_columns(df, columns)
-    chosen = list(columns) if columns is not None else categorical_columns(df, max_categories)
-    if not chosen:
-        return df, {"method": method, "affected": []}
-    return _one_hot(df, chosen, max_categories) if method == "onehot" else _label(df, chosen)
+    plain = [f.name for f in df.schema if not is_numeric(f.dataType) and not is_nested(f.dataType)]
+    if columns is not None:
+        chosen = list(columns)
+    else:
+        chosen = plain if method == "label" else categorical_columns(df, max_categories)
+    skipped = [c for c in plain if c not in chosen] if columns is None else []
+    if chosen:
+        encoded, log = _one_hot(df, chosen, max_categories) if method == "onehot" else _label(df, chosen)
+    else:
+        encoded, log = df, {"method": method, "affected": []}
+    return encoded, {**log, "skipped": skipped} if skipped else log
 
 
 def distinct_values(df: DataFrame, columns: list[str], max_categories: int) -> dict[str, list[Any]]:
@@ -191,7 +198,9 @@ def _one_hot(df: DataFrame, columns: list[str], max_categories: int) -> tuple[Da
     names: dict[str, list[str]] = {}
     indicators: dict[str, list[Column]] = {}
     for c, values in distinct_values(df, columns, max_categories).items():
-        labels = ["null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in values]
+        labels = [str(v).lower() if isinstance(v, bool) else str(v) for v in values if v is not None]
+        if None in values:
+            labels.append(next(n for n in ("null", *(f"null_{i}" for i in range(1, len(values) + 1))) if n not in labels))
         names[c] = [f"{c}_{label}" for label in labels]
         indicators[c] = [
             (col(c).isNull() if v is None else F.coalesce(col(c) == F.lit(v), F.lit(False))).cast("int").alias(name)

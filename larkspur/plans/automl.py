@@ -91,7 +91,7 @@ def auto_train(
             whole = PipelineModel(stages=[*prepared.model.stages, model, *prepared.label_back()])
             return TrainResult(entry.name, whole, metrics, importance, time.time() - started, position)
         except Exception as error:  # noqa: BLE001 - one bad estimator must not end the run
-            log.warning("estimator %s failed: %s", entry.name, error)
+            log.warning("going on without an estimator, as %s failed with: %s", entry.name, error)
             return None
 
     try:

@@ -294,3 +294,9 @@ ORACLE["leaderboard_rank"] = """
      FROM orders GROUP BY 1, 2)"""
 ORACLE["saved_model_agrees"] = """SELECT count(*) AS row_count, 0::BIGINT AS changed
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLE["query_dataset_all"] = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem"
+ORACLE["read_json_mixed"] = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"""
+ORACLE["read_csv_reordered"] = """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
+  FROM customer"""

@@ -232,6 +232,36 @@ def plot_chart(spark, sf_dir):
     return tools.plot_chart(table(spark, sf_dir, "customer"), "bar", column="c_mktsegment").data
 
 
+@query
+def query_dataset_all(spark, sf_dir):
+    """Every row comes back when no limit is given."""
+    return tools.query_dataset(table(spark, sf_dir, "lineitem"), "SELECT l_orderkey, l_linenumber, l_quantity FROM dataset")
+
+
+@query
+def read_json_mixed(spark, sf_dir):
+    """A folder with an array file and line files."""
+    path = shared_path(spark, "mixed")
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+    first = F.col("o_orderkey") % 50 == 0
+    orders.where(~first).write.json(path)
+    rows = F.to_json(F.collect_list(F.struct(*orders.columns)))
+    orders.where(first).agg(rows.alias("value")).coalesce(1).write.mode("append").text(path)
+    return readers.read_json(spark, path).select(*orders.columns)
+
+
+@query
+def read_csv_reordered(spark, sf_dir):
+    """Two files with their columns in different orders."""
+    path = shared_path(spark, "reordered")
+    customers = table(spark, sf_dir, "customer")
+    even = F.col("c_custkey") % 2 == 0
+    customers.where(even).write.option("header", True).csv(path)
+    turned = customers.select(*reversed(customers.columns))
+    turned.where(~even).write.mode("append").option("header", True).csv(path)
+    return readers.read_csv(spark, path).select(*customers.columns)
+
+
 @query
 def query_dataset(spark, sf_dir):
     text = """

@@ -57,7 +57,7 @@ class _File:
     variant: str = ""
 
     def fail(self, error: object) -> None:
-        self.status, self.error = "failed", str(error).split("\n")[0][:500]
+        self.status, self.error = "failed", str(error)
 
 
 def ingest(

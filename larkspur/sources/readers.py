@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,6 @@ from larkspur.sources.excel import read_workbooks
 from larkspur.sources.infer import apply_schema, kinds, type_choices
 
 MAX_MB = 50  # fixed value: the largest upload
-SPLIT_BYTES = 128 * 1024 * 1024
 MISSING = "\u0000"  # stands for an empty field, so that a quoted empty string stays a string
 BAD_RECORD = "__bad_record"
 
@@ -69,7 +71,7 @@ def raw_text(spark: SparkSession, paths: list[str], header: list[str], sep: str,
 
 def too_long(header: list[str], sep: str) -> Column:
     """True for a ragged row with more fields than the header; a shorter row just has nulls."""
-    unquoted = F.regexp_replace(col(BAD_RECORD), r'"(?:[^"]|"")*"', "")
+    unquoted = F.regexp_replace(col(BAD_RECORD), r'"(?:[^"]++|"")*+"', "")
     separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))
     return F.coalesce(separators >= len(header), F.lit(False))
 
@@ -77,36 +79,57 @@ def too_long(header: list[str], sep: str) -> Column:
 def _spans_lines(spark: SparkSession, path: str) -> bool:
     """Whether a quoted field may hold a line break: a line then has an odd number of quotes.
 
-    Files that fit one task are simply read that way. Larger ones are scanned, because only files
-    without such fields can be split among tasks.
+    The data decides for files of any size, because only files without such fields can be split among tasks.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    if (files.agg(F.max("length")).first()[0] or 0) <= SPLIT_BYTES:
-        return True
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
 
 
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the first line of every file that is not blank."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    lines = lines.withColumn("at", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    return lines.groupBy("file").agg(F.min_by("value", F.struct("start", "at")).alias("line"))
+
+
+def _literal(file: str) -> str:
+    """A listed path as a reader takes it: not URL-encoded, and no character acts as a wildcard."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
+
+
 def read_csv(
     spark: SparkSession, path: str, sep: str = ",", infer: bool = True, multi_line: bool | None = None
 ) -> DataFrame:
     """Delimited text with a header; types are inferred from all rows.
 
-    A row with more fields than the header is an error, one with fewer is filled with nulls.
+    A row with more fields than the header is an error, one with fewer is filled with nulls. Files of a folder may have their
+    columns in different orders; they are then put together by name.
     `multi_line` forces or forbids line breaks inside quoted fields; by default the data decides.
     """
     if multi_line is None:
         multi_line = _spans_lines(spark, path)
     names = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
-    header = names.csv(path).columns
-    if not header:
+    heads = _first_lines(spark, path).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    alike = heads.groupBy("line").agg(F.min("file").alias("first"), F.count("*").alias("files")).orderBy("first").collect()
+    if not alike:
         raise ValueError(f"no columns in {path}")
-    raw = raw_text(spark, [path], header, sep, multi_line)
-    looked_at = raw.select(*kinds(header), too_long(header, sep).alias("__long"))
+    parts, header = [], []
+    for row in alike:
+        # a single header needs no list of files
+        files = [path] if len(alike) == 1 else [_literal(r["file"]) for r in heads.where(F.col("line") == row["line"]).collect()]
+        own = names.csv(files[0]).columns
+        if not own:
+            raise ValueError(f"no columns in {path}")
+        header += [c for c in own if c not in header]
+        parts.append(raw_text(spark, files, own, sep, multi_line).withColumn("__long", too_long(own, sep)))
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    looked_at = raw.select(*kinds(header), "__long")
     found = looked_at.agg(type_choices(header).alias("types"), F.count_if("__long").alias("long")).first()
     if found["long"]:
         raise ValueError(f"{found['long']} rows of {path} have more fields than the header")
-    table = raw.drop(BAD_RECORD)
+    table = raw.drop(BAD_RECORD, "__long")
     return apply_schema(table, dict(zip(header, found["types"]))) if infer else table
 
 
@@ -136,11 +159,24 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 @register_reader([".json", ".jsonl", ".ndjson"])
 def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Flat JSON records, one per line or as one array per file (recognised by its bracket)."""
+    """Flat JSON records, one per line or as one array per file; each file's first character tells which.
+
+    Something that is no record is an error, as in delimited text.
+    """
     if multi_line is None:
-        first = spark.read.text(path).where(F.trim("value") != "").first()
-        multi_line = first is not None and first["value"].lstrip().startswith("[")
-    return spark.read.option("multiLine", multi_line).json(path)
+        listed = _first_lines(spark, path).select("file", F.ltrim("line").startswith("[").alias("listed"))
+        kinds_found = [r["listed"] for r in listed.select("listed").distinct().orderBy("listed").collect()] or [False]
+    else:
+        kinds_found = [multi_line]
+    parts = []
+    for kind in kinds_found:
+        # files of one kind need no list
+        files = path if len(kinds_found) == 1 else [_literal(r["file"]) for r in listed.where(F.col("listed") == kind).collect()]
+        part = spark.read.option("multiLine", kind).option("columnNameOfCorruptRecord", BAD_RECORD).json(files)
+        if BAD_RECORD in part.columns:
+            raise ValueError(f"{path} holds something that is not a JSON record")
+        parts.append(part)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def sql_options(

@@ -68,8 +68,7 @@ def test_quotes_breaks_and_empty_fields(spark, write):
     assert got == {1: ('say "hi", ok', "x"), 2: ("two\nlines", None), 3: ("", "y"), 4: (None, "z"), 5: (None, None)}
 
 
-def test_splittable_large_files(spark, write, monkeypatch):
-    monkeypatch.setattr(readers, "SPLIT_BYTES", 1)
+def test_splittable_files(spark, write):
     plain, broken = write("plain.csv", "a,b\n1,x\n2,y\n"), write("broken.csv", 'a,b\n1,"x\ny"\n')
     assert not readers._spans_lines(spark, plain) and readers._spans_lines(spark, broken)
     assert readers.read_csv(spark, plain).count() == 2
@@ -181,3 +180,25 @@ def test_sql_options():
     assert (parallel["partitionColumn"], parallel["lowerBound"], parallel["upperBound"], parallel["numPartitions"]) == ("id", "0", "100", "4")
     with pytest.raises(ValueError):
         readers.sql_options("jdbc:x:y", "t", "id")
+
+
+def test_long_field_of_a_ragged_row(spark, write):
+    body = 'a,b\n1,2\n3,4,"' + "x" * 1_000_000 + '"\n'
+    with pytest.raises(ValueError, match="more fields"):
+        readers.read_csv(spark, write("long_field.csv", body))
+
+
+def test_headers_in_different_orders(spark, write, tmp_path):
+    write("turned/one.csv", "a,b\n1,x\n")
+    write("turned/two.csv", "b,a\ny,2\n")
+    rows = readers.read_csv(spark, str(tmp_path / "turned")).select("a", "b").collect()
+    assert sorted(map(tuple, rows)) == [(1, "x"), (2, "y")]
+
+
+def test_json_of_both_kinds(spark, write, tmp_path):
+    (tmp_path / "both").mkdir()
+    write("both/one.json", '[{"a": 1}, {"a": 2}]')
+    write("both/two.json", '{"a": 3}\n{"a": 4, "b": "x"}\n')
+    assert sorted(r["a"] for r in readers.read_json(spark, str(tmp_path / "both")).collect()) == [1, 2, 3, 4]
+    with pytest.raises(ValueError, match="not a JSON record"):
+        readers.read_json(spark, write("broken.json", '{"a": 1}\nnothing\n'))

@@ -37,6 +37,23 @@ def test_only_the_dataset(spark, people, sf001):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("larkspur")]
 
 
+def test_all_rows_unless_limited(spark):
+    assert query_dataset(spark.range(3000), "SELECT * FROM dataset").count() == 3000
+
+
+@pytest.mark.parametrize(
+    "text", ["SELECT `reflect`('java.lang.System', 'nanoTime')", "SELECT reflect/**/('java.lang.System', 'nanoTime')",
+             "SELECT * FROM other", "SELECT * FROM dataset WHERE id IN (SELECT id FROM other)", "SELECT (SELECT max(id) FROM other) AS m"],
+)
+def test_plan_guard(spark, people, text):
+    spark.range(5).createOrReplaceTempView("other")
+    try:
+        with pytest.raises(ValueError):
+            query_dataset(people.withColumn("id", F.lit(1)), text)
+    finally:
+        spark.catalog.dropTempView("other")
+
+
 def test_similar(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.1]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, None)]
     df = spark.createDataFrame(rows, "id int, embedding array<float>")
