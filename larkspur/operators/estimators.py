@@ -74,6 +74,13 @@ def random_forest_regressor(classes: int, **hyperparams: Any) -> Estimator:
     return RandomForestRegressor(seed=SEED, **hyperparams)
 
 
+def settings(estimator: Estimator) -> dict[str, Any]:
+    """Every plain parameter of an estimator, defaults included; those of the member for one-against-rest."""
+    member = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    found = {p.name: v for p, v in member.extractParamMap().items()}
+    return {k: v for k, v in sorted(found.items()) if isinstance(v, (bool, int, float, str))}
+
+
 def slot_importances(model: Model) -> list[float] | None:
     """Gain shares per feature slot; the members' average for one-against-rest; None for linear models."""
     if isinstance(model, OneVsRestModel):

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline as Stages
 from pyspark.ml.feature import (
+    FeatureHasher,
     Imputer,
     IndexToString,
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
     VectorSizeHint,
 )
@@ -19,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.types import check_columns, col, is_numeric, number
+from larkspur.functions.types import check_columns, col, is_nested, is_numeric, number
 from larkspur.operators.profile import categorical_columns
 
-MAX_CLASSES = 100
+#: Vector slots of a column that has too many values for one indicator each.
+HASH_SLOTS = 64
 
 
 @dataclass
@@ -33,7 +36,8 @@ class Features:
     target: str
     task: str
     numeric: list[str]
-    categorical: list[str]
+    categorical: list[str]  # indicators and vectors
+    hashed: list[str]
     classes: list[str]  # empty for regression
     slots: list[str]  # the source column of every vector slot
 
@@ -41,7 +45,7 @@ class Features:
         """Slot importances summed by source column."""
         if slots is None:
             return None
-        found = dict.fromkeys([*self.numeric, *self.categorical], 0.0)
+        found = dict.fromkeys([*self.numeric, *self.categorical, *self.hashed], 0.0)
         for name, value in zip(self.slots, slots):
             found[name] += value
         return found
@@ -71,29 +75,42 @@ def fit_features(
     task: str,
     features: list[str] | None = None,
     max_categories: int = 50,
+    hash_slots: int = HASH_SLOTS,
 ) -> Features:
     """Learn the preparation on (training) rows.
 
     Numbers and booleans: mean for missing values. Text and dates with at most `max_categories`
-    values: indicators. Vectors pass as they are. Columns with more values, or with none, are left out.
+    values: indicators; with more: indicators of `hash_slots` hash slots, none for null. Vectors pass as
+    they are; rows without one are an error. Nested columns and those without any value are left out.
+    The driver and the models hold one entry per class, however many there are.
     """
     if task not in ("classification", "regression"):
         raise ValueError(f"unknown task: {task}")
     wanted, target = split_xy(df, target, features)
     vectors = [c for c in wanted if type(df.schema[c].dataType).__name__ == "VectorUDT"]
     numeric = [c for c in wanted if _numeric_like(df, c)]
-    rest = [c for c in wanted if c not in numeric and c not in vectors]
-    if numeric:
-        filled = df.agg(*[F.count(_as_number(df, c)).alias(str(i)) for i, c in enumerate(numeric)]).first()
-        numeric = [c for i, c in enumerate(numeric) if filled[i]]
-    categorical = categorical_columns(df, max_categories, rest) if rest else []
-    if not (numeric or categorical or vectors):
+    rest = [c for c in wanted if c not in numeric and c not in vectors and not is_nested(df.schema[c].dataType)]
+    known = df.where(col(target).isNotNull())
+    counted = [*numeric, *rest, *vectors]
+    facts = [F.count(_as_number(df, c) if c in numeric else col(c)).alias(str(i)) for i, c in enumerate(counted)]
+    facts += [F.first(col(c), ignorenulls=True).alias(f"v{i}") for i, c in enumerate(vectors)]
+    found = known.agg(F.count("*").alias("rows"), *facts).first()
+    filled = {c: found[str(i)] for i, c in enumerate(counted)}
+    numeric, rest = ([c for c in kind if filled[c]] for kind in (numeric, rest))
+    vectors = vectors if found["rows"] else []
+    for c in vectors:
+        if filled[c] < found["rows"]:
+            raise ValueError(f"{found['rows'] - filled[c]} rows have no vector in {c}; fill or drop them first")
+    widths = {c: found[f"v{i}"].size for i, c in enumerate(vectors)}
+    categorical = categorical_columns(known, max_categories, rest) if rest else []
+    hashed = [c for c in rest if c not in categorical]
+    if not (numeric or rest or vectors):
         raise ValueError("no usable feature column")
 
-    known = df.where(col(target).isNotNull())
     stages, inputs = [], []
     casts = [f"CAST({_sql(c)} AS DOUBLE) AS `__n{i}`" for i, c in enumerate(numeric)]
     casts += [f"CAST({_sql(c)} AS STRING) AS `__c{i}`" for i, c in enumerate(categorical)]
+    casts += [f"CAST({_sql(c)} AS STRING) AS `__h{i}`" for i, c in enumerate(hashed)]
     if casts:
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(casts)} FROM __THIS__"))
     if numeric:
@@ -109,28 +126,28 @@ def fit_features(
         )
         stages.append(OneHotEncoder(inputCols=indexes, outputCols=flags, dropLast=False))
         inputs += flags
-    widths = {c: known.where(col(c).isNotNull()).select(col(c)).first()[0].size for c in vectors}
+    for i in range(len(hashed)):
+        stages.append(FeatureHasher(inputCols=[f"__h{i}"], outputCol=f"__g{i}", numFeatures=hash_slots))
+        inputs.append(f"__g{i}")
     stages += [VectorSizeHint(inputCol=c, size=widths[c]) for c in vectors]
     stages.append(VectorAssembler(inputCols=inputs + vectors, outputCol="features", handleInvalid="keep"))
 
     classes: list[str] = []
     if task == "classification":
-        rough = known.agg(F.approx_count_distinct(col(target))).first()[0]
-        if rough > 2 * MAX_CLASSES:
-            raise ValueError(f"target {target} has more than {MAX_CLASSES} classes")
         values = known.select(col(target).alias("v")).distinct().orderBy("v")
-        classes = [r["v"] for r in values.select(F.col("v").cast("string").alias("v")).collect()]
-        if len(classes) > MAX_CLASSES:
-            raise ValueError(f"target {target} has more than {MAX_CLASSES} classes")
+        texts = values.select(F.col("v").cast("string").alias("v")).collect()
+        classes = list(dict.fromkeys(r["v"] for r in texts))
 
     model = Stages(stages=stages).fit(known)
     sizes = [s for stage in model.stages if hasattr(stage, "categorySizes") for s in stage.categorySizes]
     slots = list(numeric)
     for c, size in zip(categorical, sizes):
         slots += [c] * size
+    for c in hashed:
+        slots += [c] * hash_slots
     for c in vectors:
         slots += [c] * widths[c]
-    return Features(model, target, task, numeric, categorical + vectors, classes, slots)
+    return Features(model, target, task, numeric, categorical + vectors, hashed, classes, slots)
 
 
 def _as_number(df: DataFrame, column: str):
@@ -148,7 +165,10 @@ def features_target(df: DataFrame, prepared: Features) -> DataFrame:
     known = df.where(col(prepared.target).isNotNull())
     ready = prepared.model.transform(known)
     if prepared.classes:
-        index = F.array_position(F.array(*[F.lit(c) for c in prepared.classes]), col(prepared.target).cast("string"))
-        label = F.when(index > 0, (index - 1).cast("double"))
-        return ready.select("features", label.alias("label"))
+        indexer = StringIndexerModel.from_labels(prepared.classes, "__class", "__label", handleInvalid="keep")
+        ready = indexer.transform(ready.withColumn("__class", col(prepared.target).cast("string")))
+        label = F.when(F.col("__label") < len(prepared.classes), F.col("__label"))
+        # estimators read the number of classes here; they would not look for more than 100 by themselves
+        named = {"ml_attr": {"type": "nominal", "name": "label", "vals": prepared.classes}}
+        return ready.select("features", label.alias("label", metadata=named))
     return ready.select("features", col(prepared.target).cast("double").alias("label"))

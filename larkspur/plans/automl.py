@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.types import col
-from larkspur.operators.estimators import Entry, list_for_task, slot_importances
-from larkspur.operators.features import features_target, fit_features
+from larkspur.operators.estimators import Entry, list_for_task, settings, slot_importances
+from larkspur.operators.features import features_target, fit_features, split_xy
 from larkspur.operators.metrics import classification_metrics, regression_metrics
 from larkspur.operators.ranking import rank_within
 from larkspur.operators.split import train_test_split
@@ -41,7 +41,7 @@ class TrainResult:
     feature_importance: dict[str, float] | None
     train_time_sec: float
     position: int  # registry order, the tie-break of the leaderboard
-    extras: dict[str, Any] = field(default_factory=dict)
+    hyperparams: dict[str, Any]  # all that the estimator ran with
 
 
 @dataclass
@@ -70,12 +70,19 @@ def auto_train(
 ) -> AutoTrain:
     """Train every registered estimator of `task`; one that fails is logged and skipped.
 
-    The split is prepared and kept once for all fits. `parallelism` fits that many models at a time.
+    Each side of the split is read once: the needed training columns are kept while the preparation is learnt, the
+    prepared sides for all fits. `parallelism` fits that many models at a time.
     """
     entries = list_for_task(task)
-    train, test = train_test_split(df.where(col(target).isNotNull()), test_size, seed, key)
-    prepared = fit_features(train, target, task, features)
-    train_xy = _spread(features_target(train, prepared))
+    wanted, _ = split_xy(df, target, features)
+    sides = train_test_split(df.where(col(target).isNotNull()), test_size, seed, key)
+    train, test = (side.select(*map(col, [*wanted, target])) for side in sides)
+    train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        prepared = fit_features(train, target, task, wanted)
+        train_xy = _spread(features_target(train, prepared))
+    finally:
+        train.unpersist()
     # Classes that only the test side has can never be predicted; they keep a label of their own.
     test_xy = features_target(test, prepared).fillna({"label": -1.0}).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -89,7 +96,7 @@ def auto_train(
             metrics = {k: float(v) for k, v in quality.first().asDict().items() if v is not None}
             importance = prepared.importance(slot_importances(model))
             whole = PipelineModel(stages=[*prepared.model.stages, model, *prepared.label_back()])
-            return TrainResult(entry.name, whole, metrics, importance, time.time() - started, position)
+            return TrainResult(entry.name, whole, metrics, importance, time.time() - started, position, settings(estimator))
         except Exception as error:  # noqa: BLE001 - one bad estimator must not end the run
             log.warning("going on without an estimator, as %s failed with: %s", entry.name, error)
             return None

@@ -300,3 +300,20 @@ ORACLE["read_json_mixed"] = """SELECT o_orderkey, o_custkey, o_orderstatus, o_to
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"""
 ORACLE["read_csv_reordered"] = """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
   FROM customer"""
+
+# --- training on targets that follow from a feature ---------------------------------------------
+
+_KINDS = "SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'kept' END AS outcome FROM lineitem"
+ORACLE["exact_leaderboard"] = f"""
+    SELECT 'lineitem' AS original_name, model_type, CAST(rank AS BIGINT) AS rank, CAST(max_depth AS INT) AS max_depth,
+        right_share AS accuracy, right_share AS f1_macro
+    FROM (VALUES ('gbt_classifier', 1, 5), ('logistic_regression', 2, NULL), ('random_forest_classifier', 3, 5)) AS m(model_type, rank, max_depth),
+        (SELECT count(*) / 2.0::DOUBLE AS right_share FROM ({_KINDS}))"""
+ORACLE["exact_best"] = f"SELECT 'gbt_classifier' AS name, count(*) / 2.0::DOUBLE AS accuracy FROM ({_KINDS})"
+ORACLE["exact_predictions"] = """SELECT l_orderkey, l_linenumber,
+    CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'kept' END AS predicted FROM lineitem"""
+ORACLE["exact_importance"] = """
+    SELECT feature, CASE WHEN feature = 'l_returnflag' THEN 1.0::DOUBLE ELSE 0.0 END AS importance
+    FROM (VALUES ('l_returnflag'), ('l_linestatus'), ('l_quantity')) AS f(feature)"""
+ORACLE["exact_regression"] = f"""
+    SELECT name, count(*) / 2.0::DOUBLE AS r2 FROM (VALUES ('gbt_regressor'), ('random_forest_regressor')) AS m(name), ({_KINDS}) GROUP BY name"""

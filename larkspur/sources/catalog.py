@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -122,14 +121,13 @@ class Catalog:
         return path
 
     def write_experiments(
-        self, dataset_id: str, trained: AutoTrain, hyperparams: dict[str, Any] | None = None,
-        artifacts: dict[str, str] | None = None, batch: str | None = None,
+        self, dataset_id: str, trained: AutoTrain, artifacts: dict[str, str] | None = None, batch: str | None = None
     ) -> str:
-        """One row per trained estimator."""
+        """One row per trained estimator, with the hyper-parameters it ran with."""
         rows = [
             (
                 dataset_id, trained.target, trained.task, r.name, r.metrics,
-                json.dumps((hyperparams or {}).get(r.name, {})), (artifacts or {}).get(r.name),
+                json.dumps(r.hyperparams), (artifacts or {}).get(r.name),
                 r.feature_importance, r.train_time_sec,
             )
             for r in trained.results

@@ -22,7 +22,7 @@ def toy(spark):
 
 @pytest.fixture(scope="module")
 def trained(toy):
-    return automl.auto_train(toy.drop("amount"), "target", key=["id"], features=["x", "c", "z", "note"])
+    return automl.auto_train(toy.drop("amount"), "target", key=["id"], features=["x", "c", "z"])
 
 
 def test_split_is_stable(spark, sf001):
@@ -70,14 +70,43 @@ def test_features(toy):
     with pytest.raises(ValueError):
         features.split_xy(toy, "target", ["target"])
     prepared = features.fit_features(toy, "target", "classification", ["x", "c", "z", "note"])
-    assert prepared.numeric == ["x", "z"] and prepared.categorical == ["c"]  # free text is left out
-    assert prepared.classes == ["no", "yes"] and prepared.slots == ["x", "z", "c", "c", "c", "c"]
+    assert prepared.numeric == ["x", "z"] and prepared.categorical == ["c"] and prepared.hashed == ["note"]
+    assert prepared.classes == ["no", "yes"]
+    assert prepared.slots == ["x", "z", "c", "c", "c", "c"] + ["note"] * features.HASH_SLOTS
     ready = features.features_target(toy, prepared)
-    assert ready.columns == ["features", "label"] and ready.first()["features"].size == 6
+    assert ready.columns == ["features", "label"] and ready.first()["features"].size == 6 + features.HASH_SLOTS
+    empty = toy.withColumn("gone", F.lit(None).cast("string"))
     with pytest.raises(ValueError, match="no usable feature"):
-        features.fit_features(toy, "target", "classification", ["note"])
-    with pytest.raises(ValueError, match="classes"):
-        features.fit_features(toy, "note", "classification", ["x"])
+        features.fit_features(empty, "target", "classification", ["gone"])
+
+
+def test_feature_of_many_values(spark):
+    rows = [(i, f"city{i % 60}", "yes" if i % 60 < 30 else "no") for i in range(1800)]
+    df = spark.createDataFrame(rows, "id int, city string, y string")
+    found = automl.auto_train(df, "y", key=["id"], features=["city"], hyperparams={"gbt_classifier": {"maxIter": 5}})
+    assert found.best.metrics["accuracy"] > 0.8 and found.best.metrics["accuracy"] <= 1
+    assert all(r.hyperparams for r in found.results)
+    settings = {r.name: r.hyperparams for r in found.results}
+    assert settings["gbt_classifier"]["maxIter"] == 5 and settings["random_forest_classifier"]["numTrees"] == 20
+
+
+def test_target_of_many_classes(spark):
+    rows = [(i, float(i % 150), f"k{i % 150:03}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, x double, y string")
+    prepared = features.fit_features(df, "y", "classification", ["x"])
+    assert len(prepared.classes) == 150
+    ready = features.features_target(df, prepared)
+    model = estimators.random_forest_classifier(150, maxDepth=10, numTrees=3, maxBins=256).fit(ready)
+    assert model.numClasses == 150
+    assert metrics.classification_metrics(model.transform(ready).select("label", "prediction")).first()["accuracy"] > 0.5
+
+
+def test_missing_vector_is_an_error(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense([1.0, 2.0]), 1.0), (None, 2.0)], ["v", "y"])
+    with pytest.raises(ValueError, match="1 rows have no vector in v"):
+        features.fit_features(df, "y", "regression", ["v"])
 
 
 def test_leaderboard(trained):
