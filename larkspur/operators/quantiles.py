@@ -1,10 +1,11 @@
 """Exact quantiles that stay distributed.
 
 Spark's exact `percentile` keeps one entry per distinct value in a single buffer, which no task can
-hold for a column of a trillion different prices. Here every rank is narrowed down instead: each
-pass counts the rows of all columns in equal-width bins (one plain, map-side-combined aggregate),
-and the bin that holds the rank, known by its exact smallest and largest value, is the next range.
-A pass shrinks a range a thousandfold, so two to four passes settle any table size.
+hold for a column of a trillion different prices. Here every rank is bracketed instead: a sketch of
+all columns gives two values that lie just under and over each rank, and the rows below, at, between
+and above them are counted exactly (one map-side-combined aggregate). What holds the rank is the next
+range. Brackets follow ranks, so two passes leave about four of `ACCURACY` rows, however the values
+are spread; once few rows are left, one more pass counts them value by value.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.types import check_columns, col, number, numeric_columns
 
-GRID_ROWS = 32_768  # bins fetched per pass, shared by all ranges
+ACCURACY = 10_000  # of the sketch: its ranks are off by one of so many rows at most
 FINISH_ROWS = 131_072  # values fetched to end the search, shared by all ranges
 
 
@@ -39,30 +40,41 @@ class _Target:
         return self.column, self.low, self.high
 
 
-def _long(df: DataFrame, spans: list[tuple[str, float, float]]) -> DataFrame:
-    """The values that fall into each span, as (span number, v)."""
+def _long(df: DataFrame, spans: list[tuple[str, float, float]], edges: dict[int, list[float]] | None = None) -> DataFrame:
+    """The values that fall into each span, as (span, v, bin).
+
+    With edges e1 < e2 < ..., bin 2k - 1 is the value ek and bin 2k what lies between ek and the next; else all bins are 0.
+    """
     values, inside = [], []
     for i, (column, low, high) in enumerate(spans):
-        v = number(df, column)
+        v = number(df, column).cast("double")
         inside.append((v >= low) & (v <= high))
-        values.append(F.when(inside[-1], v).alias(str(i)))
+        steps = [(v >= e).cast("int") + (v > e).cast("int") for e in (edges or {}).get(i, [])]
+        at = reduce(Column.__add__, steps, F.lit(0))
+        values.append(F.when(inside[-1], F.struct(v.alias("v"), at.alias("bin"))).alias(str(i)))
     wide = df.where(reduce(Column.__or__, inside)).select(*values)
-    long = wide.unpivot([], [col(str(i)) for i in range(len(spans))], "span", "v").where(F.col("v").isNotNull())
-    return long.select(F.col("span").cast("int").alias("span"), "v")
+    long = wide.unpivot([], [col(str(i)) for i in range(len(spans))], "span", "x").where(F.col("x").isNotNull())
+    return long.select(F.col("span").cast("int").alias("span"), "x.v", "x.bin")
+
+
+def _edges(df: DataFrame, spans: list[tuple[str, float, float]], targets: list[_Target]) -> dict[int, list[float]]:
+    """Per span, values just under and over the ranks that are looked for in it, in order."""
+    sketches = []
+    for i, (column, low, high) in enumerate(spans):
+        v = number(df, column).cast("double")
+        shares = [(t.rank - t.below + 0.5) / t.rows for t in targets if t.span == spans[i]]
+        near = sorted({min(max(p + d, 0.0), 1.0) for p in shares for d in (-2 / ACCURACY, 2 / ACCURACY)})
+        sketches.append(F.percentile_approx(F.when((v >= low) & (v <= high), v), near, ACCURACY).alias(str(i)))
+    return {i: sorted(set(found)) for i, found in enumerate(df.agg(*sketches).first())}
 
 
-def _count_bins(df: DataFrame, spans: list[tuple[str, float, float]]) -> dict[int, list[tuple]]:
+def _count_bins(
+    df: DataFrame, spans: list[tuple[str, float, float]], targets: list[_Target]
+) -> dict[int, list[tuple]]:
     """Per span, its occupied bins in order as (rows, min, max)."""
-    bins = max(GRID_ROWS // len(spans), 16)
-    scale = [0.5 if math.isinf(high - low) else 1.0 for _, low, high in spans]
-    start = F.array(*[F.lit(low * k) for (_, low, _), k in zip(spans, scale)])
-    width = F.array(*[F.lit(high * k - low * k) for (_, low, high), k in zip(spans, scale)])
-    factor = F.array(*[F.lit(k) for k in scale])
-    at = (F.col("v") * F.get(factor, "span") - F.get(start, "span")) / F.get(width, "span")
-    bin_number = F.least(F.floor(at * bins), F.lit(bins - 1))
+    long = _long(df, spans, _edges(df, spans, targets))
     rows = (
-        _long(df, spans)
-        .groupBy("span", bin_number.alias("bin"))
+        long.groupBy("span", "bin")
         .agg(F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
         .collect()
     )
@@ -96,7 +108,7 @@ def _search(df: DataFrame, targets: list[_Target]) -> None:
     while open_targets := [t for t in targets if t.value is None]:
         spans = list(dict.fromkeys(t.span for t in open_targets))
         small = max(t.rows for t in open_targets) <= FINISH_ROWS // len(spans)
-        _narrow(open_targets, spans, _count_values(df, spans) if small else _count_bins(df, spans))
+        _narrow(open_targets, spans, _count_values(df, spans) if small else _count_bins(df, spans, open_targets))
 
 
 def _interpolate(count: int, probability: float) -> tuple[int, int, float]:

@@ -24,8 +24,8 @@ def draws(kind, n=3000):
 @pytest.mark.parametrize("kind", ["even", "heavy_tail", "two_values", "constant", "hot_value", "extremes"])
 @pytest.mark.parametrize("tiny", [False, True])
 def test_equals_sorting(spark, monkeypatch, kind, tiny):
-    if tiny:  # many passes with few bins
-        monkeypatch.setattr(Q, "GRID_ROWS", 16)
+    if tiny:  # many passes with a coarse sketch
+        monkeypatch.setattr(Q, "ACCURACY", 16)
         monkeypatch.setattr(Q, "FINISH_ROWS", 8)
     values = draws(kind)
     df = spark.createDataFrame([(v,) for v in values], "a double")
@@ -67,3 +67,31 @@ def test_many_columns(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in data], [f"c{i}" for i in range(40)])
     found = Q.medians(df, df.columns)
     assert [found[f"c{i}"] for i in range(40)] == pytest.approx(np.median(data, axis=0).tolist())
+
+
+SPREADS = {
+    "uniform": "rand(1)",
+    "log_normal": "exp(5 * randn(2))",
+    "decades": "pow(10D, 600 * rand(3) - 300)",
+    "one_value": "if(rand(4) < 0.99, 7D, rand(5))",
+}
+
+
+def test_passes_do_not_depend_on_the_spread(spark, monkeypatch):
+    """A look for the ranges, two for the brackets, one for the rest."""
+    passes = []
+    for name, cost in (("_count_bins", 2), ("_count_values", 1)):
+        real = getattr(Q, name)
+        monkeypatch.setattr(Q, name, lambda *a, real=real, cost=cost: (passes.append(cost), real(*a))[1])
+    df = spark.range(300_000).selectExpr(*[f"{e} AS {n}" for n, e in SPREADS.items()]).cache()
+    local = df.toPandas()
+    for name in SPREADS:
+        passes.clear()
+        found = Q.quantiles(df, [name], [0.25, 0.5, 0.9])[name]
+        assert found == pytest.approx(list(local[name].quantile([0.25, 0.5, 0.9])), rel=1e-12)
+        assert 1 + sum(passes) <= 5
+    passes.clear()
+    together = Q.quantiles(df, list(SPREADS), [0.25, 0.5, 0.9])
+    assert 1 + sum(passes) <= 5
+    assert together["decades"] == pytest.approx(list(local["decades"].quantile([0.25, 0.5, 0.9])), rel=1e-12)
+    df.unpersist()
