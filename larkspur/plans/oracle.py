@@ -317,3 +317,13 @@ ORACLE["exact_importance"] = """
     FROM (VALUES ('l_returnflag'), ('l_linestatus'), ('l_quantity')) AS f(feature)"""
 ORACLE["exact_regression"] = f"""
     SELECT name, count(*) / 2.0::DOUBLE AS r2 FROM (VALUES ('gbt_regressor'), ('random_forest_regressor')) AS m(name), ({_KINDS}) GROUP BY name"""
+
+
+# --- by dataset id ------------------------------------------------------------------------------
+
+ORACLE["clean_dataset"] = ORACLE["cleaning_chain"]
+ORACLE["train_dataset"] = f"SELECT *, rank = 1 AS saved FROM ({ORACLE['exact_leaderboard']})"
+ORACLE["query_by_id"] = "SELECT l_returnflag, l_linestatus, count(*) AS row_count FROM lineitem GROUP BY l_returnflag, l_linestatus"
+ORACLE["chart_by_id"] = """SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY o_orderpriority
+    ORDER BY count DESC, o_orderpriority NULLS LAST LIMIT 20"""
+ORACLE["other_tenant_missing"] = "SELECT 'ws' AS workspace_id, count(*) AS row_count FROM customer UNION ALL SELECT 'other', NULL"

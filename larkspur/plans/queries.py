@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as X
 from larkspur.operators import charts, columns, features, metrics, profile, quantiles, similar, split, steps
-from larkspur.plans import automl, tools
+from larkspur.plans import automl, datasets, tools
 from larkspur.plans.cleaning import Cleaning
 from larkspur.session import shared_path
 from larkspur.sources import catalog as K
@@ -480,23 +480,16 @@ def _priority(path: str) -> Column:
     return F.regexp_extract(path, "priority=([^/]+)/", 1)
 
 
-_CATALOGS: dict[tuple[str, str], tuple[K.Catalog, DataFrame]] = {}
-
-
-def _ingested(spark: SparkSession, sf_dir: str, anew: bool = False) -> tuple[K.Catalog, DataFrame]:
-    """A catalogue of the order files and, by dataset id, their priority; kept for the session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if anew or key not in _CATALOGS:
-        landed = _land_orders(spark, sf_dir)
-        store = K.Catalog(spark, shared_path(spark, "catalog"))
-        ingest.ingest(spark, landed, store, "ws")
-        checked = readers.guard_files(spark, landed)
-        ids = checked.select(
-            X.stable_id(F.col("path"), F.unix_micros("modified"), F.col("file_size")).alias("id"),
-            _priority("path").alias("priority"),
-        )
-        _CATALOGS[key] = store, ids
-    return _CATALOGS[key]
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[K.Catalog, DataFrame]:
+    """A catalogue of the order files and, by dataset id, their priority."""
+    landed = _land_orders(spark, sf_dir)
+    store = K.Catalog(spark, shared_path(spark, "catalog"))
+    ingest.ingest(spark, landed, store, "ws")
+    ids = readers.guard_files(spark, landed).select(
+        X.stable_id(F.col("path"), F.unix_micros("modified"), F.col("file_size")).alias("id"),
+        _priority("path").alias("priority"),
+    )
+    return store, ids
 
 
 @query
@@ -509,7 +502,7 @@ def guard_files(spark, sf_dir):
 
 @query
 def ingest_catalog(spark, sf_dir):
-    store, ids = _ingested(spark, sf_dir, anew=True)
+    store, ids = _ingested(spark, sf_dir)
     found = store.list_datasets("ws").join(ids, "id")
     return found.groupBy("priority", "status", "file_format").agg(
         F.sum("row_count").alias("row_count"), F.max("column_count").cast("long").alias("column_count")
@@ -764,3 +757,56 @@ def feature_importance(spark, sf_dir):
     trained = _trained(spark, sf_dir)
     forest = next(r for r in trained.results if r.name == "random_forest_classifier")
     return charts.importance_chart(spark, forest.name, forest.feature_importance).data
+
+
+# --- by dataset id ------------------------------------------------------------------------------
+
+
+def _added(spark: SparkSession, df: DataFrame, name: str) -> tuple[K.Catalog, str]:
+    """A catalogue with one dataset, and its id."""
+    store = K.Catalog(spark, shared_path(spark, "catalog"))
+    return store, datasets.add_dataset(store, df, "ws", name)
+
+
+@query
+def clean_dataset(spark, sf_dir):
+    store, key = _added(spark, with_nulls(spark, sf_dir), "events")
+    made = datasets.clean_dataset(store, key, "ws", CHAIN)
+    return datasets.open_dataset(store, made, "ws").withColumn("value", rounded("value"))
+
+
+@query
+def train_dataset(spark, sf_dir):
+    """Experiments of one call, ranked; the best has its model saved."""
+    store, key = _added(spark, returned(spark, sf_dir), "lineitem")
+    datasets.train_dataset(store, key, "ws", "outcome", key=LINE_KEY, features=RETURN_FEATURES)
+    depth = F.get_json_object("hyperparams", "$.maxDepth").cast("int").alias("max_depth")
+    scores = [rounded(F.col("metrics")[k], 6).alias(k) for k in ("accuracy", "f1_macro")]
+    saved = F.col("artifact_path").isNotNull().alias("saved")
+    return store.leaderboard_for(key).select("original_name", "model_type", "rank", depth, *scores, saved)
+
+
+@query
+def query_by_id(spark, sf_dir):
+    store, key = _added(spark, table(spark, sf_dir, "lineitem"), "lineitem")
+    text = "SELECT l_returnflag, l_linestatus, count(*) AS row_count FROM dataset GROUP BY l_returnflag, l_linestatus"
+    return datasets.query_by_id(store, key, "ws", text)
+
+
+@query
+def chart_by_id(spark, sf_dir):
+    store, key = _added(spark, table(spark, sf_dir, "orders"), "orders")
+    return datasets.chart_by_id(store, key, "ws", "bar", column="o_orderpriority").data
+
+
+@query
+def other_tenant_missing(spark, sf_dir):
+    """Rows that each of two workspaces finds under one dataset's id."""
+    store, key = _added(spark, table(spark, sf_dir, "customer"), "customer")
+    rows = []
+    for workspace in ("ws", "other"):
+        try:
+            rows.append((workspace, datasets.open_dataset(store, key, workspace).count()))
+        except LookupError:
+            rows.append((workspace, None))
+    return spark.createDataFrame(rows, "workspace_id string, row_count bigint")

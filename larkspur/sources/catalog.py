@@ -25,7 +25,7 @@ from larkspur.plans.cleaning import log_frame
 SCHEMAS = {
     "datasets": "id string, workspace_id string, original_name string, storage_path string, file_size bigint, "
     "file_format string, status string, row_count bigint, column_count int, profile string, error string, "
-    "created_at timestamp",
+    "created_at timestamp, parent_id string",
     "dataset_columns": "dataset_id string, position int, column_name string, data_type string, is_nullable boolean, "
     f"null_count bigint, unique_count bigint, sample_values array<string>, stats {STATS_TYPE}",
     "pipeline_logs": "id string, dataset_id string, step_name string, step_order int, applied_changes string, "
@@ -39,6 +39,8 @@ SCHEMAS = {
     "token_usage map<string,int>, provider_used string, created_at timestamp",
 }
 
+#: Tables that are looked up by this column lie in a folder for each of its values.
+FOLDERS = {"datasets": "workspace_id"}
 
 
 class Catalog:
@@ -61,7 +63,9 @@ class Catalog:
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in known
         ]
         # Straight into its own folder: batches written at the same time do not meet.
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path(table)}/batch_id={batch}")
+        writer = rows.select(*columns).write.mode("overwrite")
+        writer = writer.partitionBy(FOLDERS[table]) if table in FOLDERS else writer
+        writer.parquet(f"{self.path(table)}/batch_id={batch}")
         return batch
 
     def read(self, table: str, with_batch: bool = False) -> DataFrame:
@@ -72,7 +76,8 @@ class Catalog:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             found = self.spark.createDataFrame([], schema)
-        return found if with_batch else found.drop("batch_id")
+        names = T.StructType.fromDDL(schema).names
+        return found.select(*(names if with_batch else names[:-1]))
 
     # --- writers --------------------------------------------------------------------------------
 
@@ -141,7 +146,7 @@ class Catalog:
         return self.append("ml_experiments", frame, batch)
 
     def save_best(self, dataset_id: str, best: TrainResult) -> str:
-        return save_model(best.model, f"{self.root}/models/{dataset_id}-{best.name}")
+        return save_model(best.model, f"{self.root}/models/{dataset_id}-{best.name}-{uuid.uuid4().hex}")
 
     # --- readers --------------------------------------------------------------------------------
 
