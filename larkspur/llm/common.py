@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.session import shared_path
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -42,6 +47,37 @@ def random_key(salt: str, *values: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), *parts)), 1, 15), 16, 10).cast("long")
 
 
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The function over batches; at its end the worker hands back the memory that Arrow and the C library keep for later.
+
+    Python workers live on between tasks and stages, beside a JVM that needs the room.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        import pyarrow
+
+        yield from function(batches)
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of text; a part ends with the text that passes a multiple of it."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    reach = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+    cuts = (np.searchsorted(reach, np.arange(most, reach[-1], most)) + 1).tolist() if len(reach) else []
+    bounds = sorted({0, *cuts, batch.num_rows})
+    return (batch.slice(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False))
+
+
 class Scratch:
     """Intermediate tables in the shared folder, so that a lost executor costs no recompute."""
 

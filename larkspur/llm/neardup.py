@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, field, table
+from larkspur.llm.common import Scratch, field, lean, table
 from larkspur.llm.components import components
 
 SHINGLE = 3
@@ -129,6 +129,7 @@ def signatures(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     `df` has id, text_key and text.
     """
 
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = Minima(bands, rows)
         for batch in batches:
@@ -165,6 +166,7 @@ def all_pairs(lists: DataFrame, column: str) -> DataFrame:
 def similar_signatures(pairs: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree in a share of at least `least`, chance agreement of bytes taken off."""
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -197,6 +199,7 @@ def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
     """(v, n, items): the distinct shingles of (v, text)."""
 
+    @lean
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in _parts(batch.column("text")):
@@ -229,6 +232,7 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """
     size = 1 << COUNT_BITS
 
+    @lean
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(size, dtype=np.int64)
         for batch in batches:
@@ -240,6 +244,7 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     counts = np.zeros(size, dtype=np.int32)
     counts[rows["slot"].to_numpy(dtype=np.int64)] = np.minimum(rows["n"].to_numpy(dtype=np.int64), 2**31 - 1)
 
+    @lean
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, places = [], []

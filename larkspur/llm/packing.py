@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, field, random_key, running_sums, table
-from larkspur.llm.tokens import encoder, vocabulary_path
+from larkspur.llm.common import Scratch, field, lean, random_key, running_sums, slices, table
+from larkspur.llm.tokens import CHUNK_BYTES, encoder, vocabulary_path
 
 SEQUENCE = 2048
 END_ID = 0
@@ -46,10 +46,11 @@ def pieces(
     vocabulary = vocabulary or vocabulary_path()
     schema = PIECES + (", ids binary" if with_ids else "")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in batches:
-            flat, lengths = encode(batch.column("text"))
+        for part in (p for batch in batches for p in slices(batch, CHUNK_BYTES)):
+            flat, lengths = encode(part.column("text"))
             flat = np.insert(flat, np.cumsum(lengths), end_id).astype("<u4")
             lengths = lengths + 1
             count = -(-lengths // most)
@@ -60,12 +61,12 @@ def pieces(
             reach = np.cumsum(length)
             body = [memoryview(flat[a:b]).cast("B") for a, b in zip((reach - length).tolist(), reach.tolist(), strict=True)]
             arrays = [
-                batch.column("id").take(pa.array(row)),
+                part.column("id").take(pa.array(row)),
                 pa.array(piece, pa.int32()),
                 pa.array(start, pa.int64()),
                 pa.array(length, pa.int64()),
                 pa.array([crc32(b) for b in body], pa.int64()),
-                batch.column("key").take(pa.array(row)),
+                part.column("key").take(pa.array(row)),
             ]
             if with_ids:
                 arrays.append(pa.array([bytes(b) for b in body], pa.binary()))
@@ -191,6 +192,7 @@ def pack(cut: DataFrame, room: int = SEQUENCE) -> DataFrame:
         cut.withColumn("one", F.lit(1).cast("long")), narrow, ["length"], "key", ["doc_id", "piece"], "one", "number", many
     ).drop("one", "key")
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, number = (np.asarray(batch.column(c), dtype=np.int64) for c in ("length", "number"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, field, random_key, table
+from larkspur.llm.common import Scratch, field, lean, random_key, slices, table
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -126,13 +126,6 @@ def features(words: Words, buckets: int) -> np.ndarray:
     return np.stack([word[words.code], shape[words.code], again], axis=1).astype(np.int64)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    reach = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64))
-    cuts = (np.searchsorted(reach, np.arange(CHUNK_BYTES, reach[-1], CHUNK_BYTES)) + 1).tolist() if len(reach) else []
-    bounds = sorted({0, *cuts, batch.num_rows})
-    return (batch.slice(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False))
-
-
 # --- expectation-maximisation -----------------------------------------------------------------------------
 
 
@@ -168,9 +161,10 @@ def voted(df: DataFrame, text: str, key: str) -> DataFrame:
     """The pattern of votes (three to the power of the labeller, plus one) of every row, with the key."""
     powers = 3 ** np.arange(len(LABELLERS))
 
+    @lean
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, CHUNK_BYTES):
                 cast = votes(measures(Words(part.column("text")))).astype(np.int64) + 1
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cast @ powers)], names=["id", "pattern"])
 
@@ -197,9 +191,10 @@ def train(df: DataFrame, text: str, key: str, learned: dict[int, float], buckets
     bound = int(min(1.0, 1.3 * (sample + 100) / max(rows, 1)) * (1 << 60))
     chosen = ids.where(F.col("r") < bound).orderBy("r", "id").limit(sample).drop("r")
 
+    @lean
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, CHUNK_BYTES):
                 words = Words(part.column("text"))
                 cast = (votes(measures(words)).astype(np.int64) + 1) @ powers
                 found = features(words, buckets).astype("<i4")
@@ -212,6 +207,7 @@ def train(df: DataFrame, text: str, key: str, learned: dict[int, float], buckets
     weights, moment, spread = np.zeros(buckets + 1), np.zeros(buckets + 1), np.zeros(buckets + 1)
     for step in range(1, steps + 1):
 
+        @lean
         def gradient(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             total, seen = np.zeros(buckets + 1), 0
             for batch in batches:
@@ -260,11 +256,12 @@ def classify(
     whole = text in rest
     held = df.select(F.struct(*[field(c) for c in rest]).alias("__row"), *([] if whole else [field(text).alias("text")]))
 
+    @lean
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if whole:
                 batch = batch.append_column("text", pc.struct_field(batch.column("__row"), rest.index(text)))
-            for part in _slices(batch):
+            for part in slices(batch, CHUNK_BYTES):
                 words = Words(part.column("text"))
                 cast = (votes(measures(words)).astype(np.int64) + 1) @ powers
                 sums = np.bincount(words.of, weights=weights[features(words, buckets)].sum(axis=1), minlength=words.texts)
