@@ -296,11 +296,11 @@ def rare_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFra
     return direct.unionByName(rest).distinct(), links
 
 
-def near_duplicates(
-    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """One row per row of `df`: the key, text_key (xxhash64 of the text), n_shingles, component_id and kept."""
+def labelled_rows(df: DataFrame, text: str, key: str, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """One row per row of `df`: id, text_key, n_shingles, label and component_id.
+
+    The label tells components apart, whatever ids their rows have; it is null for texts without words, which are linked with nothing.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
     named = df.select(field(key).cast("long").alias("id"), F.xxhash64(field(text)).alias("text_key"), field(text).alias("text"))
@@ -337,20 +337,36 @@ def near_duplicates(
     labelled = vertices.select("same", "first_id", "v").join(labels.withColumnRenamed("vertex", "v"), "v", "left")
     labelled = labelled.select("same", "first_id", F.coalesce("label", "v").alias("label"))
     first = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named_classes = labelled.join(first, "label").select("same", "component_id")
+    named_classes = labelled.join(first, "label").select("same", "label", "component_id")
     out = signed.select("id", "text_key", "same", "n_shingles").join(named_classes, "same", "left")
     component = F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = out.select(F.col("id").alias(key), "text_key", "n_shingles", component.alias("component_id"))
+    return out.select("id", "text_key", "n_shingles", "label", component.alias("component_id"))
+
+
+def near_duplicates(
+    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row per row of `df`: the key, text_key (xxhash64 of the text), n_shingles, component_id and kept."""
+    out = labelled_rows(df, text, key, width, percent, bands, rows)
+    out = out.select(F.col("id").alias(key), "text_key", "n_shingles", "component_id")
     return out.withColumn("kept", field(key).eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
-    """One row of each component, with all columns of `df`; of rows with an equal id and text one stays."""
-    flags = near_duplicates(df, text, key, **settings).where("kept")
-    chosen = flags.groupBy("component_id").agg(F.min("text_key").alias("__text_key"))
-    chosen = chosen.select(F.col("component_id").alias("__id"), "__text_key")
-    # texts without words are components of their own; null ids of such rows are one "component" each, too
-    lone = flags.where("n_shingles = 0").select(F.col("component_id").alias("__id"), F.col("text_key").alias("__text_key"))
+def deduplicated(
+    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row of each component, with all columns of `df`; of rows with an equal id and text one stays.
+
+    Components are told apart by their labels, as ids may be null or repeat. The row with the smallest id stays, those without one come last.
+    """
+    found = labelled_rows(df, text, key, width, percent, bands, rows)
+    smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("least")
+    chosen = found.where("label IS NOT NULL").groupBy("label").agg(smallest)
+    chosen = chosen.select(F.col("least.id").alias("__id"), F.col("least.text_key").alias("__text_key"))
+    # texts without words are components of their own
+    lone = found.where("label IS NULL").select(F.col("id").alias("__id"), F.col("text_key").alias("__text_key"))
     chosen = chosen.unionByName(lone).distinct()
     keyed = df.select(F.struct(*[field(c) for c in df.columns]).alias("__row"), field(key).cast("long").alias("__id"), F.xxhash64(field(text)).alias("__text_key"))
     none = F.lit(-(2**63))

@@ -145,3 +145,15 @@ def test_deduplicated_rows(docs):
     assert kept.columns == docs.columns
     found = Counter(r["doc_id"] for r in kept.select("doc_id").collect())
     assert found[5] == 1 and found[6] == 0 and found[7] == 0 and found[0] == 1
+
+
+def test_deduplicated_without_ids(spark):
+    """Unrelated texts stay, whether their ids are null or repeat; near copies go, and one with an id goes before one without."""
+    prose = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcdefg"]
+    near = [p + " end" for p in prose]
+    rows = [(None, p) for p in prose[:4]] + [(7, p) for p in prose[4:6]] + [(None, near[0]), (None, near[4]), (8, near[1]), (7, prose[6]), (9, near[6])]
+    rows += [(None, None), (None, ""), (7, ""), (None, prose[2]), (7, prose[5])]
+    kept = [(r[0], r[1]) for r in neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(None, prose[2]), (None, prose[3]), (8, near[1]), *[(7, p) for p in prose[4:7]], (None, None), (None, ""), (7, "")]
+    first = [x for x in kept if x in [(None, prose[0]), (None, near[0])]]
+    assert len(first) == 1 and Counter(x for x in kept if x not in first) == Counter(want)
