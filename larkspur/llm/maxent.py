@@ -3,7 +3,10 @@
 P(word | history) = P(class | history) P(word | class). The frequent words and the end are classes of their own; all others are dealt to
 `SURFACES` classes by their last two letters, so a word's class is known without a table. P(class | history) is a softmax over
 the summed weights of hashed features: the word before, the word before that (a skip feature), and both (an n-gram feature), and a bias.
-Within a class, words have their shares of its training tokens, less a Good-Turing share for words never seen.
+Within a class of many words, bits of the word's hash lead down levels of at most `FAN` branches, as many as the counted vocabulary asks for; at every
+level a softmax over the branches sums weights of the same hashed features, taken together with the node, and the branches' logarithmic
+counts. Words of one leaf (`PER_LEAF` on average at most, up to `MOST_BITS` bits) have their shares of its tokens. A Good-Turing share of a class is kept for words never
+seen.
 
 Training counts all words of all training documents, then takes `ROUNDS` rounds of gradient steps that each use their own part of
 the training documents, all of them once: tasks step through their documents in batches from common weights, and the weights' changes
@@ -36,10 +39,17 @@ STEP_TOKENS = 4096
 ROUNDS = 2
 RATE = 0.5
 BLOCK = 512
+#: Branches of a node within a class, in bits; words of a leaf on average; most bits of all levels (a table of 64 MB); bits of the rows of weights a kind.
+FAN_BITS = 6
+FAN = 1 << FAN_BITS
+PER_LEAF = 2
+MOST_BITS = 18
+INNER_BITS = (12, 14)
 CHUNK_BYTES = 4_000_000
 
 END, BEFORE = np.int64(SURFACES), np.int64(2 * SURFACES)
 ROWS = 3 * FEATURES + 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- tokens -----------------------------------------------------------------------------------------------
@@ -76,12 +86,22 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Tables:
-    """What tasks hold: frequent words with counts, words with a class of their own, and shares within classes."""
+    """What tasks hold: frequent words with counts, words with a class of their own, shares within classes, and tokens of each leaf."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, own: np.ndarray, per_class: np.ndarray, unseen: np.ndarray, total: int, kinds: int):
+    def __init__(
+        self, frequent: np.ndarray, counts: np.ndarray, own: np.ndarray, per_class: np.ndarray, unseen: np.ndarray, total: int, kinds: int, leaves: np.ndarray
+    ):
         self.frequent, self.counts, self.own = frequent, counts, own  # sorted keys, their counts, sorted keys with own classes
         self.per_class, self.unseen = per_class, unseen
         self.total, self.scale = total, np.log10(total + 0.5 * (kinds + 1))
+        self.leaves, self.levels = leaves, levels_for(kinds)
+        self.bits = sum(self.levels)
+        self.inner = 1 << min(max(INNER_BITS[0], int(np.ceil(np.log2(max(kinds, 1) / 16)))), INNER_BITS[1])
+        # logarithmic counts of the branches of all nodes, level by level; a branch without words is next to impossible
+        self.priors = []
+        for level, own_bits in enumerate(self.levels):
+            sums = leaves.reshape(SURFACES << sum(self.levels[: level + 1]), -1).sum(axis=1).reshape(-1, 1 << own_bits)
+            self.priors.append(np.log(np.maximum(sums, 1e-26)).astype(np.float32))
 
     def classes(self, keys: np.ndarray) -> np.ndarray:
         """Class of each distinct key: its own, or that of its surface."""
@@ -98,14 +118,28 @@ class Tables:
         at = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
         return np.where(self.frequent[at] == keys, self.counts[at], -1)
 
-    def within(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P(word | class) of words that were seen."""
-        share = (1 - self.unseen[classes]) * counts / np.maximum(self.per_class[classes], 1)
+    def within(self, keys: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of (1 - unseen share) P(word | leaf) of words that were seen."""
+        share = (1 - self.unseen[classes]) * counts / np.maximum(self.leaves[nodes(keys, self.bits)], 1)
         return np.log10(np.where(classes >= SURFACES, 1.0, np.maximum(share, 1e-300)))
 
 
-def histories(keys: np.ndarray, code: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The three features of every token: rows of the weights."""
+def levels_for(kinds: int) -> list[int]:
+    """Bits of the branches of each level within a class, for so many distinct words."""
+    bits = min(max(1, int(np.ceil(np.log2(max(kinds, 1) / (SURFACES * PER_LEAF))))), MOST_BITS)
+    return [min(FAN_BITS, bits - at) for at in range(0, bits, FAN_BITS)]
+
+
+def nodes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Node of each key: its surface, then so many of the highest bits of its hash."""
+    found = keys & (SURFACES - 1)
+    if bits:
+        found = (found << bits) | (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return found
+
+
+def contexts(keys: np.ndarray, code: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The three features of every token, as hashes."""
     first = np.cumsum(counts) - counts
     value = keys[code].view(np.uint64)
     one, two = np.roll(value, 1), np.roll(value, 2)
@@ -113,14 +147,44 @@ def histories(keys: np.ndarray, code: np.ndarray, counts: np.ndarray) -> np.ndar
     two[first] = np.uint64(BEFORE)
     second = first[counts > 1] + 1
     two[second] = np.uint64(BEFORE + 1)
-    mix = np.uint64(0x9E3779B97F4A7C15)
+    return [mixed(one), mixed(two ^ np.uint64(0x5BD1E995)), mixed(one * np.uint64(3) + two * _MIX)]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MIX
+    x ^= x >> np.uint64(31)
+    return x * _MIX
+
+
+def histories(features: list[np.ndarray]) -> np.ndarray:
+    """Rows of the weights of classes."""
+    return np.stack([(x >> np.uint64(40)).astype(np.int64) % FEATURES + kind * FEATURES for kind, x in enumerate(features)], axis=1)
+
+
+def branches(tables: Tables, features: list[np.ndarray], keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level within classes: rows of the inner weights, logarithmic counts of the branches, and the branch taken, of every token."""
+    at = 0
+    for level, bits in enumerate(tables.levels):
+        node = nodes(keys, at)
+        at += bits
+        salt = (node + (level + 1) * 0x632BE5AB).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        rows = [(mixed(x ^ salt) >> np.uint64(40)).astype(np.int64) % tables.inner + kind * tables.inner for kind, x in enumerate(features)]
+        yield np.stack(rows, axis=1), tables.priors[level][node], nodes(keys, at) & ((1 << bits) - 1)
 
-    def row(x: np.ndarray, kind: int) -> np.ndarray:
-        x = x * mix
-        x ^= x >> np.uint64(31)
-        return ((x * mix) >> np.uint64(40)).astype(np.int64) % FEATURES + kind * FEATURES
 
-    return np.stack([row(one, 0), row(two ^ np.uint64(0x5BD1E995), 1), row(one * np.uint64(3) + two * mix, 2)], axis=1)
+def branch_logits(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    used = weights[:, : prior.shape[1]]
+    return used[rows[:, 0]] + used[rows[:, 1]] + used[rows[:, 2]] + prior
+
+
+def path_logs(weights: np.ndarray, tables: Tables, features: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """log P(leaf | class, history) of every token."""
+    logs = np.zeros(len(keys))
+    for a in range(0, len(keys), STEP_TOKENS):
+        part = slice(a, a + STEP_TOKENS)
+        for rows, prior, goal in branches(tables, [x[part] for x in features], keys[part]):
+            logs[part] += log_softmax(branch_logits(weights, rows, prior))[np.arange(len(goal)), goal]
+    return logs
 
 
 def class_logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -139,16 +203,31 @@ def learn(weights: np.ndarray, met: np.ndarray, rows: np.ndarray, classes: np.nd
         part, goal = rows[a : a + STEP_TOKENS], classes[a : a + STEP_TOKENS]
         error = np.exp(log_softmax(class_logits(weights, part)))
         error[np.arange(len(part)), goal] -= 1
-        for kind in range(3):
-            order = np.argsort(part[:, kind], kind="stable")
-            used, start, times = np.unique(part[order, kind], return_index=True, return_counts=True)
-            slope = np.add.reduceat(error[order], start, axis=0)
-            weights[used] -= rate * slope / (times[:, None] + 4).astype(np.float32)
-            met[used] += times
+        descend(weights, met, part, error, rate)
         weights[-1] -= rate * 0.1 * error.mean(axis=0)
         met[-1] += len(part)
 
 
+def descend(weights: np.ndarray, met: np.ndarray, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
+    """A step of the weights of all three kinds of features."""
+    for kind in range(3):
+        order = np.argsort(rows[:, kind], kind="stable")
+        used, start, times = np.unique(rows[order, kind], return_index=True, return_counts=True)
+        slope = np.add.reduceat(error[order], start, axis=0)
+        weights[used] -= rate * slope / (times[:, None] + 4).astype(np.float32)
+        met[used] += times
+
+
+def learn_within(weights: np.ndarray, met: np.ndarray, tables: Tables, features: list[np.ndarray], keys: np.ndarray, rate: float) -> None:
+    """Gradient steps for the branches within classes, in place."""
+    for a in range(0, len(keys), STEP_TOKENS):
+        part = slice(a, a + STEP_TOKENS)
+        for rows, prior, goal in branches(tables, [x[part] for x in features], keys[part]):
+            error = np.exp(log_softmax(branch_logits(weights, rows, prior)))
+            error[np.arange(len(goal)), goal] -= 1
+            descend(weights[:, : prior.shape[1]], met, rows, error, rate)
+
+
 # --- jobs -------------------------------------------------------------------------------------------------
 
 
@@ -196,50 +275,68 @@ def make_tables(counts: DataFrame, most: int) -> tuple[Tables, int]:
     for number, (key, place) in enumerate(zip(own, at, strict=True)):
         if place < len(frequent) and frequent[place] == key:
             per_class[SURFACES + number] = times[place]
-    return Tables(frequent, times, own, per_class, unseen, total, kinds), least
+    bits = sum(levels_for(kinds))
+    found = alone.groupBy(leaf_of(F.col("key"), bits).alias("leaf")).agg(F.sum("n").alias("n")).toPandas()
+    leaves = np.zeros(SURFACES << bits, dtype=np.float32)
+    leaves[found["leaf"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    return Tables(frequent, times, own, per_class, unseen, total, kinds, leaves), least
+
+
+def leaf_of(key: Column, bits: int) -> Column:
+    """nodes(key, bits) of keys in a table."""
+    return F.pmod(key, F.lit(SURFACES)) * (1 << bits) + F.shiftrightunsigned(key, 64 - bits)
 
 
-def train_round(training: DataFrame, weights: np.ndarray, tables: Tables, rate: float) -> np.ndarray:
-    """New weights after one pass over `training`: all tasks start from `weights`; changes are averaged by use."""
+def train_round(training: DataFrame, weights: list[np.ndarray], tables: Tables, rate: float) -> list[np.ndarray]:
+    """New weights (of classes, and within them) after one pass over `training`: all tasks start from `weights`; changes are averaged by use."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, met = weights.copy(), np.zeros(ROWS, dtype=np.int64)
+        own, met = [w.copy() for w in weights], [np.zeros(len(w), dtype=np.int64) for w in weights]
         for batch in batches:
             for part in _slices(batch):
                 keys, code, counts = tokens(part.column("text"))
-                learn(own, met, histories(keys, code, counts), tables.classes(keys)[code], rate)
-        if met.any():
-            change = ((own - weights) * met[:, None]).astype("<f4")
-            for block in range(0, ROWS, BLOCK):
-                body = [change[block : block + BLOCK].tobytes()], [met[block : block + BLOCK].astype("<i8").tobytes()]
-                arrays = [pa.array([block], pa.int32()), pa.array(body[0], pa.binary()), pa.array(body[1], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["block", "change", "met"])
+                features, goal = contexts(keys, code, counts), tables.classes(keys)[code]
+                learn(own[0], met[0], histories(features), goal, rate)
+                many = goal < SURFACES
+                learn_within(own[1], met[1], tables, [x[many] for x in features], keys[code[many]], rate)
+        for number in range(len(weights)):
+            for block in range(0, len(weights[number]), BLOCK):
+                at = slice(block, block + BLOCK)
+                if met[number][at].any():
+                    change = (own[number][at] - weights[number][at]).astype(kinds[number])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number], pa.int32()), pa.array([block], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([met[number][at].astype("<i8").tobytes()], pa.binary())],
+                        names=["number", "block", "change", "met"],
+                    )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
+        sums: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                parts = np.frombuffer(row["change"], dtype="<f4").astype(np.float64), np.frombuffer(row["met"], dtype="<i8")
-                sums[row["block"]] = [a + b for a, b in zip(sums[row["block"]], parts, strict=True)] if row["block"] in sums else list(parts)
-        for block, (change, met) in sums.items():
-            arrays = [pa.array([block], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([met.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "change", "met"])
-
-    schema = "block int, change binary, met binary"
+                at, met = (row["number"], row["block"]), np.frombuffer(row["met"], dtype="<i8")
+                change = np.frombuffer(row["change"], dtype=kinds[row["number"]]).astype(np.float64)
+                parts = change.reshape(len(met), -1) * met[:, None], met
+                sums[at] = [a + b for a, b in zip(sums[at], parts, strict=True)] if at in sums else list(parts)
+        for (number, block), (change, met) in sums.items():
+            arrays = [pa.array([number], pa.int32()), pa.array([block], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([met.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["number", "block", "change", "met"])
+
+    kinds = "<f4", "<f2"  # the larger table's changes move as halves
+    schema = "number int, block int, change binary, met binary"
     blocks = training.select("text").mapInArrow(step, schema)
     # sums are taken as batches come; a block is one vector, whatever the number of tasks
-    new = weights.astype(np.float64)
-    for row in blocks.repartition("block").mapInArrow(add, schema).collect():
+    new = [w.copy() for w in weights]
+    for row in blocks.repartition("number", "block").mapInArrow(add, schema).collect():
         met = np.frombuffer(row["met"], dtype=np.int64)
-        change = np.frombuffer(row["change"]).reshape(len(met), CLASSES)
-        new[row["block"] : row["block"] + len(met)] += change / np.maximum(met, 1)[:, None]
-    return new.astype(np.float32)
+        change = np.frombuffer(row["change"]).reshape(len(met), -1)
+        new[row["number"]][row["block"] : row["block"] + len(met)] += (change / np.maximum(met, 1)[:, None]).astype(np.float32)
+    return new
 
 
-def score_texts(df: DataFrame, weights: np.ndarray, tables: Tables) -> DataFrame:
+def score_texts(df: DataFrame, weights: list[np.ndarray], tables: Tables) -> DataFrame:
     """id, held_out, n_tokens, what is known of n_known, base_score and score, and the words that are not in the table.
 
-    `rare` lists such words' keys, `times` how often each occurs.
+    `rare` lists such words' keys, `times` how often each occurs, `paths` the sum of log10 P(leaf | class, history) of these.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,17 +346,21 @@ def score_texts(df: DataFrame, weights: np.ndarray, tables: Tables) -> DataFrame
                 classes, times = tables.classes(keys), tables.count(keys)
                 inside = times >= 0
                 base = np.where(inside, np.log10(np.maximum(times, 0) + 0.5) - tables.scale, 0.0)
-                word = np.where(inside, tables.within(classes, np.maximum(times, 1)), 0.0)
-                rows, goal = histories(keys, code, counts), classes[code]
+                word = np.where(inside, tables.within(keys, classes, np.maximum(times, 1)), 0.0)
+                features, goal = contexts(keys, code, counts), classes[code]
+                rows = histories(features)
                 logs = np.empty(len(code))
                 for a in range(0, len(code), STEP_TOKENS):
-                    logits = log_softmax(class_logits(weights, rows[a : a + STEP_TOKENS]))
+                    logits = log_softmax(class_logits(weights[0], rows[a : a + STEP_TOKENS]))
                     logs[a : a + STEP_TOKENS] = logits[np.arange(len(logits)), goal[a : a + STEP_TOKENS]]
+                many, paths = goal < SURFACES, np.zeros(len(code))
+                paths[many] = path_logs(weights[1], tables, [x[many] for x in features], keys[code[many]]) / np.log(10)
                 of = np.repeat(np.arange(part.num_rows), counts)
-                sums = [np.bincount(of, weights=w, minlength=part.num_rows) for w in (inside[code], base[code], word[code] + logs / np.log(10))]
+                sums = [np.bincount(of, weights=w, minlength=part.num_rows) for w in (inside[code], base[code], word[code] + logs / np.log(10) + np.where(inside[code], paths, 0.0))]
                 # the other words of each text, each once
                 far = ~inside[code]
-                pairs, many = np.unique(of[far] * len(keys) + code[far], return_counts=True)
+                pairs, again, many = np.unique(of[far] * len(keys) + code[far], return_inverse=True, return_counts=True)
+                path = np.bincount(again, weights=paths[far], minlength=len(pairs))
                 ends = np.searchsorted(pairs, np.arange(part.num_rows + 1) * len(keys)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -271,13 +372,14 @@ def score_texts(df: DataFrame, weights: np.ndarray, tables: Tables) -> DataFrame
                         pa.array(sums[2]),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[pairs % len(keys)])),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(many.astype(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(path)),
                     ],
-                    names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
+                    names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times", "paths"],
                 )
 
     schema = (
         "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<bigint>, times array<bigint>"
+        "rare array<bigint>, times array<bigint>, paths array<double>"
     )
     return df.mapInArrow(judge, schema)
 
@@ -296,29 +398,31 @@ def score(
     training = rows.where("NOT held_out")
     counts = scratch.keep(count_words(training))
     tables, least = make_tables(counts, most)
-    weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
-    weights[-1] = np.log((tables.per_class + 1) / (tables.per_class.sum() + CLASSES))
+    weights = [np.zeros((ROWS, CLASSES), dtype=np.float32), np.zeros((3 * tables.inner, FAN), dtype=np.float32)]
+    weights[0][-1] = np.log((tables.per_class + 1) / (tables.per_class.sum() + CLASSES))
     for turn in range(rounds):
         weights = train_round(training.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn), weights, tables, rate)
 
     # numbers are drawn once, as the table is written
     judged = scratch.keep(score_texts(rows, weights, tables).withColumn("row", F.monotonically_increasing_id()))
-    pairs = judged.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
-    pairs = pairs.select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
+    pairs = judged.select("row", F.explode(F.arrays_zip("rare", "times", "paths")).alias("w"))
+    pairs = pairs.select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"), F.col("w.paths").alias("path"))
     # frequent words are not among these, so no key has more rows than a rare word's count allows
-    joined = pairs.join(counts.where(F.col("n") < least), "key", "left")
-    shares = spark.createDataFrame(
-        [(i, float(tables.per_class[i]), float(tables.unseen[i])) for i in range(SURFACES)], "c int, per_class double, unseen double"
-    )
+    few = counts.where(F.col("n") < least).withColumn("leaf", leaf_of(F.col("key"), tables.bits))
+    own = [int(k) for k in tables.own]
+    leaves = counts.where(~F.col("key").isin(own)).groupBy(leaf_of(F.col("key"), tables.bits).alias("leaf")).agg(F.sum("n").alias("of_leaf"))
+    joined = pairs.join(few.join(leaves, "leaf", "left").select("key", "n", "of_leaf"), "key", "left")
+    shares = spark.createDataFrame([(i, float(tables.unseen[i])) for i in range(SURFACES)], "c int, unseen double")
     classed = joined.withColumn("c", F.pmod("key", F.lit(SURFACES)).cast("int")).join(F.broadcast(shares), "c")
     seen = F.coalesce("n", F.lit(0))
-    inside = F.when(seen > 0, (1 - F.col("unseen")) * seen / F.greatest("per_class", F.lit(1.0))).otherwise(F.col("unseen"))
+    inside = F.when(F.col("key") == int(END), 1.0).when(seen > 0, (1 - F.col("unseen")) * seen / F.col("of_leaf")).otherwise(F.col("unseen"))
+    path = F.when(seen > 0, F.col("path")).otherwise(0.0)
     added = classed.groupBy("row").agg(
         F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (F.log10(seen + 0.5) - F.lit(float(tables.scale)))).alias("more_base"),
-        F.sum(F.col("times") * F.log10(inside)).alias("more_score"),
+        F.sum(F.col("times") * F.log10(inside) + path).alias("more_score"),
     )
-    whole = judged.drop("rare", "times").join(added, "row", "left").na.fill(0, ["more_known", "more_base", "more_score"])
+    whole = judged.drop("rare", "times", "paths").join(added, "row", "left").na.fill(0, ["more_known", "more_base", "more_score"])
     return whole.select(
         F.col("id").alias(key),
         "held_out",

@@ -304,6 +304,23 @@ def test_class_model_sums_to_one():
     assert np.exp(found).sum(axis=1) == pytest.approx(1, abs=1e-4)
 
 
+def test_history_tells_words_of_a_class_apart(spark):
+    """Words with equal counts and last letters, each after a word of its own: the true follower scores over another."""
+    random = np.random.default_rng(5)
+    filler = [f"f{i}" for i in range(maxent.CLASSES)]  # frequent: they have the classes of their own
+    texts = []
+    for _ in range(600):
+        pairs = random.permutation(80)
+        texts.append(" ".join(" ".join(random.choice(filler, 4)) + f" c{p}qq w{p}zz" for p in pairs))
+    test = [i for i in range(10_000, 10_400) if zlib.crc32(str(i).encode()) % 5 == 1][:40]
+    true = [(i, " ".join(f"f1 f2 c{p}qq w{p}zz" for p in range(80))) for i in test[:20]]
+    other = [(i, " ".join(f"f1 f2 c{p}qq w{(p + 7) % 80}zz" for p in range(80))) for i in test[20:]]
+    df = spark.createDataFrame([*enumerate(texts), *true, *other], "doc_id long, text string").repartition(2)
+    for most in (maxent.TABLE, 200):  # words that tasks hold, and words that are joined
+        scores = {r["doc_id"]: r["score"] for r in maxent.score(df, most=most).collect()}
+        assert np.mean([scores[i] for i in test[:20]]) > np.mean([scores[i] for i in test[20:]]) + 80 * 0.1
+
+
 # --- op9 --------------------------------------------------------------------------------------------------
 
 
