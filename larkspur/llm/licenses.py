@@ -11,6 +11,9 @@ at most `BROADCAST_ROWS`.
 
 from __future__ import annotations
 
+import json
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,8 @@ from larkspur.llm.common import field, table
 
 BROADCAST_ROWS = 100_000
 
-#: Public licence statements and short licence texts, with their SPDX names.
+#: Public licence statements and short licence texts, with their SPDX names. Whole licences and their headers are in
+#: known_licenses.json, with and without titles, "All rights reserved", numbers of clauses, and appendix.
 KNOWN = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -54,11 +58,19 @@ SPELLINGS = {
 }
 
 _COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9])[^\n]*"
+#: Wider than what the SQL takes for a copyright line: names before or without a year, and colons. Words that go on after "copyright"
+#: in licences themselves, where lines may break anywhere, do not begin a name.
+_CLAUSE = r"(?:holders?|owners?|notices?|licen[sc]es?|laws?|treat(?:y|ies)|statements?|interests?|acts?|rights?|protection|and|or|to|in|is|of|for|on|as|applies)\b"
+_NAMED = (
+    r"by[ \t]|[:,][ \t]*[^\n]*[0-9]{4}|(?![ \t]*" + _CLAUSE + r")[^\n]*\b(?:19|20)[0-9]{2}\b"
+    r"|the[ \t](?:[^\n]*[ \t])?(?:authors?|contributors?|developers?|maintainers?|team)[ \t.]*(?=\n|$)"
+)
+_COPYRIGHT_LINE = _COPYRIGHT[: -len(r"(\(c\)|©|[0-9])[^\n]*")] + r"(?:\(c\)|©|[0-9]|" + _NAMED + r")[^\n]*"
 
 
 def canonical(text: Column) -> Column:
     """The text as it is compared. Characters outside ASCII stay, as they tell texts apart."""
-    low = F.regexp_replace(F.lower(text), _COPYRIGHT, "\n")
+    low = F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "\n")
     low = F.concat(F.lit(" "), F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
     for old, new in SPELLINGS.items():
         low = F.replace(low, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -69,9 +81,15 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def whole_licenses() -> dict[str, list[str]]:
+    """Full texts and common headers of public licences, with their SPDX names."""
+    return json.loads(resources.files("larkspur.llm").joinpath("known_licenses.json").read_text(encoding="utf-8"))
+
+
 def known_licenses(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
     """(digest, license) of known texts."""
-    rows = [(name, text) for name, texts in (known or KNOWN).items() for text in texts]
+    listed = [known] if known else [KNOWN, whole_licenses()]
+    rows = [(name, text) for some in listed for name, texts in some.items() for text in texts]
     listed = spark.createDataFrame(rows, "license string, text string").withColumn("digest", digest(F.col("text")))
     return listed.groupBy("digest").agg(F.min("license").alias("license"))
 

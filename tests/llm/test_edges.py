@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, and columns with names like the operators' own."""
 
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -157,3 +158,29 @@ def test_deduplicated_without_ids(spark):
     want = [(None, prose[2]), (None, prose[3]), (8, near[1]), *[(7, p) for p in prose[4:7]], (None, None), (None, ""), (7, "")]
     first = [x for x in kept if x in [(None, prose[0]), (None, near[0])]]
     assert len(first) == 1 and Counter(x for x in kept if x not in first) == Counter(want)
+
+
+def test_whole_licenses(spark):
+    """Whole licences wrapped, re-cased and re-spelled, under copyright lines of any form, and texts that are not quite licences."""
+    lines = ["Copyright (c) 2020 A. Person", "Copyright by A. Person 2020", "Copyright: 2020 A. Person", "Copyright The Project Authors", "Copyright A. Person, 2019-2021", "© 2020"]
+    rows, want = [], {}
+
+    def add(text, name):
+        want[len(rows)] = name
+        rows.append((len(rows), text))
+
+    for name, texts in licenses.whole_licenses().items():
+        for text in texts:
+            paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", re.sub(r"(?mi)^\W*copyright \(c\).*$", "", text))]
+            add(text, name)
+            for width in (40, 48, 61, 79, 10**6):
+                add("\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in paragraphs).upper(), name)
+    texts = licenses.whole_licenses()
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        for line in lines:
+            add(f"{line}\n\n{texts[name][0]}", name)
+    add(texts["MIT"][0].replace("sublicense", "sub-license").replace("MERCHANTABILITY", "MERCHANTIBILITY"), "MIT")
+    add(texts["Apache-2.0"][0].replace("License", "Licence").replace("[yyyy] [name of copyright owner]", "2020 A. Person"), "Apache-2.0")
+    add(texts["MIT"][0].replace("without restriction", "with restriction"), None)
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
+    assert {i: (want[i], found[i], rows[i][1][:60]) for i in want if found[i] != want[i]} == {}
