@@ -37,6 +37,8 @@ FRESH = 4
 DEGREE = 10
 TOLERANCE = 1e-13
 MOST = 60
+#: A filter may lift the largest eigenvalue by e to this power: more would bury the other directions in its rounding errors.
+GROWTH = 30.0
 
 
 # --- passes over the fit list -----------------------------------------------------------------------------
@@ -179,10 +181,11 @@ def leading(
         if settled and (iteration or width == dimension):
             return Basis(ritz[:, :k], values[:k], residuals, passes, history)
         kept = width if width == dimension else width - fresh
-        high = float(values[kept - 1])
-        low = min(lanczos.lowest(), 0.9 * high)
+        high = max(float(values[kept - 1]), 1e-14 * float(values[0]))
+        low, top = min(lanczos.lowest(), 0.9 * high), max(float(values[0]), high * 1.0001)
+        steps = min(degree, max(1, int(GROWTH / math.acosh((2 * top - low - high) / (high - low)))))
         start = np.column_stack([ritz[:, :kept], random.standard_normal((dimension, width - kept))])
-        filtered = chebyshev(riding if iteration == 0 else counted, start, low, high, max(float(values[0]), high * 1.0001), degree)
+        filtered = chebyshev(riding if iteration == 0 else counted, start, low, high, top, steps)
         # columns are scaled alike before QR: the filter leaves unwanted ones tiny
         lengths = np.linalg.norm(filtered, axis=0)
         block = np.linalg.qr(filtered / np.where(lengths > 0, lengths, 1))[0]
