@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.common import Scratch, field, lean, random_key, slices, table
 
@@ -273,8 +274,9 @@ def classify(
                     names=["__row", *new],
                 )
 
-    row = held.schema["__row"].dataType.simpleString()
-    judged = held.mapInArrow(judge, f"__row {row}, weak_label double, score double, kept boolean")
+    schema = T.StructType([held.schema["__row"]])  # not as text, where names with dots or spaces would have to be quoted
+    schema = schema.add("weak_label", "double").add("score", "double").add("kept", "boolean")
+    judged = held.mapInArrow(judge, schema)
     return judged.select("__row.*", *new)
 
 

@@ -17,7 +17,7 @@ TEXTS = [
 ]
 CLASHES = [
     "size", "row", "key", "id", "hi", "lo", "part", "shard", "slot", "kept", "score", "v", "bucket", "target", "copies", "words",
-    "digest", "license", "pattern", "held_out", "length", "number", "weak_label", "n_words", "text_key", "before", "sid", "r",
+    "digest", "license", "pattern", "held_out", "length", "number", "weak_label", "n_words", "text_key", "before", "sid", "r", "a.b", "a b.c", "a`b",
 ]
 
 
