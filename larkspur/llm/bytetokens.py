@@ -61,7 +61,10 @@ class ByteEncoder(Encoder):
         return np.concatenate([next(whole) if o else next(plain) for o in odd.tolist()]).astype(np.int32), lengths
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        cut = pc.replace_substring_regex(texts, r"(\S)(\s)", rf"\1{_CUT}\2")
+        if pc.any(pc.match_substring_regex(texts, r"\s\s")).as_py():
+            cut = pc.replace_substring_regex(texts, r"(\S)(\s)", rf"\1{_CUT}\2")
+        else:  # no runs of white space, so plain replacement does, at an eighth of the cost
+            cut = pc.replace_substring(pc.replace_substring(texts, " ", f"{_CUT} "), "\n", f"{_CUT}\n")
         cut = pc.replace_substring_regex(cut, r"([A-Za-z])([.,;:!?])", rf"\1{_CUT}\2")
         return self._gather(pc.split_pattern(cut, _CUT), self._by_words)
 
