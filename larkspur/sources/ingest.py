@@ -19,17 +19,18 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle, inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import stable_id
 from larkspur.functions.types import col
 from larkspur.operators.profile import profile, sample_values
-from larkspur.session import cut_lineage
+from larkspur.session import cut_lineage, shared_path
 from larkspur.sources.catalog import Catalog
 from larkspur.sources.excel import cell_types, typed_cells, workbook_cells
 from larkspur.sources.infer import kinds, type_choices
-from larkspur.sources.readers import BAD_RECORD, MAX_MB, READERS, checked_files, raw_text, too_long
+from larkspur.sources.readers import BAD_RECORD, MAX_MB, READERS, checked_files, first_lines, raw_text, too_long
+from larkspur.sources.splits import json_records
 
 log = logging.getLogger(__name__)
 
@@ -39,6 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FILES_PER_GROUP = 5_000  # paths handed to one read
 GROUPS_AT_A_TIME = 6  # groups whose jobs run side by side
 SEPARATORS = {"csv": ",", "tsv": "\t"}  # fixed values: text formats and their separators
+JSON = ("json", "jsonl", "ndjson")  # fixed values
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -155,26 +157,21 @@ def _groups(spark: SparkSession, files: list[_File], max_mb: int) -> Iterator[li
 def _learn_headers(spark: SparkSession, file_format: str, files: list[_File], max_mb: int) -> None:
     known = {f.path: f for f in files}
     if file_format in SEPARATORS:
-        first = F.regexp_replace(F.substring_index(F.col("content").cast("string"), "\n", 1), "^﻿|\r$", "")
-        for r in _contents(spark, files, max_mb).select("path", first.alias("line")).collect():
-            file = known[r["path"]]
-            file.header = header_names(r["line"], SEPARATORS[file_format])
+        for path, line in _first_of(spark, files):
+            known[path].header = header_names(line.removeprefix("\ufeff").removesuffix("\r"), SEPARATORS[file_format])
+        for file in files:
             if not file.header:
                 file.fail("the file is empty")
-    elif file_format in ("json", "jsonl", "ndjson"):
-        text = F.trim(F.col("content").cast("string"))
-        listed = text.startswith("[")
-        records = F.when(listed, F.from_json(text, "array<string>")).otherwise(F.split(text, "\n"))
-        found = (
-            _contents(spark, files, max_mb)
-            .select("path", listed.alias("listed"), F.explode(records).alias("record"))
-            .select("path", "listed", F.explode(F.json_object_keys("record")).alias("name"))
-            .groupBy("path", "listed")
-            .agg(F.array_sort(F.collect_set("name")).alias("names"))
-        )
-        for r in found.collect():
-            file = known[r["path"]]
-            file.header, file.variant = tuple(r["names"]), "array" if r["listed"] else "lines"
+    elif file_format in JSON:
+        for path, line in _first_of(spark, files):
+            known[path].variant = "array" if line.lstrip("\ufeff \t\r").startswith("[") else "lines"
+        for variant in ("array", "lines"):
+            members = [f for f in files if f.variant == variant]
+            if members:
+                keys = F.explode(F.json_object_keys("value"))
+                named = _json_values(spark, members, variant).select("path", keys.alias("name"))
+                for r in named.groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("names")).collect():
+                    known[r["path"]].header = tuple(r["names"])
         for file in files:
             if not file.header:
                 file.fail("no JSON records")
@@ -187,6 +184,20 @@ def _learn_headers(spark: SparkSession, file_format: str, files: list[_File], ma
             f.variant = f.path
 
 
+def _first_of(spark: SparkSession, files: list[_File]) -> list[tuple[str, str]]:
+    """(path, first line that is not blank) of every file; one row a file reaches the driver."""
+    lines = first_lines(spark, [_literal(f.path) for f in files])
+    return [(r["path"], r["line"]) for r in lines.select(_decoded(F.col("file")).alias("path"), "line").collect()]
+
+
+def _json_values(spark: SparkSession, files: list[_File], variant: str) -> DataFrame:
+    """(path, value): one record a row, files being read by ranges."""
+    paths = [_literal(f.path) for f in files]
+    if variant == "array":
+        return json_records(spark, paths).withColumn("path", _decoded(F.col("path")))
+    return spark.read.text(paths).where(F.trim("value") != "").select(_source_path().alias("path"), "value")
+
+
 def _parquet_schemas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow.parquet as pq
 
@@ -259,9 +270,21 @@ def _typed(spark: SparkSession, file_format: str, files: list[_File]) -> Iterato
         paths = [_literal(f.path) for f in files]
         if file_format == "parquet":
             df = spark.read.parquet(*paths).withColumn("__path", _source_path())
-        elif file_format in ("json", "jsonl", "ndjson"):
-            df = spark.read.option("multiLine", files[0].variant == "array").json(paths)
-            df = df.withColumn("__path", _source_path())
+        elif file_format in JSON:
+            lines = paths
+            if files[0].variant == "array":  # as lines, a folder for each file, whose name tells the path
+                lines = shared_path(spark, "json-lines")
+                named = _with_id(spark, _json_values(spark, files, "array"), "path", files)
+                named.select("value", F.concat(F.lit("of "), "dataset_id").alias("__id")).write.partitionBy("__id").text(lines)
+            df = spark.read.option("columnNameOfCorruptRecord", BAD_RECORD).json(lines)
+            if BAD_RECORD in df.columns:
+                raise ValueError("something in the file is not a JSON record")
+            if files[0].variant == "array":
+                df = df.withColumn("__id", F.substring("__id", 4, 1000))
+                paths_of = spark.createDataFrame([(f.id, f.path) for f in files], "__id string, __path string")
+                df = df.join(F.broadcast(paths_of), "__id").drop("__id")  # the list of a group's files is short
+            else:
+                df = df.withColumn("__path", _source_path())
         else:
             df = READERS[f".{file_format}"](spark, paths[0])
             df = df.withColumn("__path", F.lit(files[0].path))
@@ -275,9 +298,13 @@ def _typed(spark: SparkSession, file_format: str, files: list[_File]) -> Iterato
             yield [f for f in files if f.row_count], table
 
 
-def _source_path():
+def _decoded(path: Column) -> Column:
     """The path as the file listing writes it; the metadata column has it URL-encoded."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _source_path() -> Column:
+    return _decoded(F.col("_metadata.file_path"))
 
 
 def _literal(path: str) -> str:
@@ -297,9 +324,9 @@ def _typed_text(spark: SparkSession, sep: str, files: list[_File]) -> Iterator[t
     header = list(files[0].header)
 
     def raw(members: list[_File]) -> DataFrame:
-        # Files are at most as large as the guard allows, so each is read whole by one task.
         paths = [_literal(f.path) for f in members]
-        return raw_text(spark, paths, header, sep, multi_line=True).withColumn("__path", _source_path())
+        rows = raw_text(spark, paths, header, sep, multi_line=True, with_path=True)
+        return rows.withColumn("__path", _decoded(F.col("__path")))
 
     looked_at = raw(files).select("__path", *kinds(header), too_long(header, sep).alias("__long"))
     facts = looked_at.groupBy("__path").agg(

@@ -17,6 +17,7 @@ from larkspur.functions.scalars import file_format, file_name, file_suffix
 from larkspur.functions.types import col
 from larkspur.sources.excel import read_workbooks
 from larkspur.sources.infer import apply_schema, kinds, type_choices
+from larkspur.sources.splits import split_csv, split_json
 
 MAX_MB = 50  # fixed value: the largest upload
 MISSING = "\u0000"  # stands for an empty field, so that a quoted empty string stays a string
@@ -52,21 +53,25 @@ def read_any(spark: SparkSession, path: str, **options: Any) -> DataFrame:
 # --- delimited text -----------------------------------------------------------------------------
 
 
-def raw_text(spark: SparkSession, paths: list[str], header: list[str], sep: str, multi_line: bool) -> DataFrame:
-    """Delimited files with a known header: every column as text, plus BAD_RECORD for ragged rows."""
+def text_options(sep: str) -> dict[str, str]:
+    """How fields are written: doubled quotes inside quotes, no mark for null, fields of any length."""
+    return {"sep": sep, "escape": '"', "nullValue": MISSING, "emptyValue": "", "maxCharsPerColumn": "-1"}
+
+
+def raw_text(
+    spark: SparkSession, paths: list[str], header: list[str], sep: str, multi_line: bool, with_path: bool = False
+) -> DataFrame:
+    """Delimited files with a known header: every column as text, plus BAD_RECORD for ragged rows, and `__path` if wanted.
+
+    Files of any size are read by ranges; with `multi_line` each range finds out whether it begins inside a quoted field.
+    """
+    if multi_line:
+        rows = split_csv(spark, paths, header, sep, BAD_RECORD, text_options(sep))
+        return rows if with_path else rows.drop("__path")
     fields = [T.StructField(c, T.StringType()) for c in [*header, BAD_RECORD]]
-    return (
-        spark.read.schema(T.StructType(fields))
-        .option("header", True)
-        .option("sep", sep)
-        .option("escape", '"')
-        .option("nullValue", MISSING)
-        .option("emptyValue", "")
-        .option("multiLine", multi_line)
-        .option("maxCharsPerColumn", -1)
-        .option("columnNameOfCorruptRecord", BAD_RECORD)
-        .csv(paths)
-    )
+    read = spark.read.schema(T.StructType(fields)).option("header", True).options(**text_options(sep))
+    rows = read.option("columnNameOfCorruptRecord", BAD_RECORD).csv(paths)
+    return rows.withColumn("__path", F.col("_metadata.file_path")) if with_path else rows
 
 
 def too_long(header: list[str], sep: str) -> Column:
@@ -85,7 +90,7 @@ def _spans_lines(spark: SparkSession, path: str) -> bool:
     return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
 
 
-def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line): the first line of every file that is not blank."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
@@ -111,7 +116,7 @@ def read_csv(
     if multi_line is None:
         multi_line = _spans_lines(spark, path)
     names = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
-    heads = _first_lines(spark, path).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    heads = first_lines(spark, path).withColumn("line", F.regexp_replace("line", "\r$", ""))
     alike = heads.groupBy("line").agg(F.min("file").alias("first"), F.count("*").alias("files")).orderBy("first").collect()
     if not alike:
         raise ValueError(f"no columns in {path}")
@@ -164,7 +169,7 @@ def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     Something that is no record is an error, as in delimited text.
     """
     if multi_line is None:
-        listed = _first_lines(spark, path).select("file", F.ltrim("line").startswith("[").alias("listed"))
+        listed = first_lines(spark, path).select("file", F.ltrim("line").startswith("[").alias("listed"))
         kinds_found = [r["listed"] for r in listed.select("listed").distinct().orderBy("listed").collect()] or [False]
     else:
         kinds_found = [multi_line]
@@ -172,7 +177,9 @@ def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     for kind in kinds_found:
         # files of one kind need no list
         files = path if len(kinds_found) == 1 else [_literal(r["file"]) for r in listed.where(F.col("listed") == kind).collect()]
-        part = spark.read.option("multiLine", kind).option("columnNameOfCorruptRecord", BAD_RECORD).json(files)
+        if kind:  # arrays become lines first, by ranges
+            files = split_json(spark, files)
+        part = spark.read.option("columnNameOfCorruptRecord", BAD_RECORD).json(files)
         if BAD_RECORD in part.columns:
             raise ValueError(f"{path} holds something that is not a JSON record")
         parts.append(part)
