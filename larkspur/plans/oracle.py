@@ -245,8 +245,11 @@ ORACLE["snapshot_round_trip"] = ORACLE["fill_median"]
 ORACLE["infer_types_csv"] = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
 ORACLE["read_excel"] = ORACLE["infer_types_csv"]
 ORACLE["read_tsv"] = "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part"
-ORACLE["read_csv_text"] = "SELECT doc_id, text, lang FROM documents"
-ORACLE["read_json"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+ORACLE["read_csv_text"] = "SELECT * FROM documents"
+ORACLE["read_csv_ranges"] = "SELECT * FROM pages"
+ORACLE["read_json_arrays"] = "SELECT * FROM documents"
+ORACLE["read_json"] = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"""
 ORACLE["read_parquet"] = "SELECT * FROM supplier"
 ORACLE["guard_files"] = "SELECT DISTINCT substr(o_orderpriority, 1, 1) AS priority, 'csv' AS file_format, true AS accepted FROM orders"
 ORACLE["ingest_catalog"] = """SELECT substr(o_orderpriority, 1, 1) AS priority, 'ready' AS status, 'csv' AS file_format,

@@ -238,18 +238,33 @@ def query_dataset_all(spark, sf_dir):
     return tools.query_dataset(table(spark, sf_dir, "lineitem"), "SELECT l_orderkey, l_linenumber, l_quantity FROM dataset")
 
 
+def as_arrays(df, path):
+    """Write rows as JSON arrays, one file for about 20,000 rows, so that no group grows with the table."""
+    files = 1 + df.count() // 20_000
+    dealt = df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(files)).alias("file"))
+    rows = dealt.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    rows.repartition(files, "file").select("value").write.mode("append").text(path)
+
+
 @query
 def read_json_mixed(spark, sf_dir):
-    """A folder with an array file and line files."""
+    """A folder with array files and line files."""
     path = shared_path(spark, "mixed")
     orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
-    first = F.col("o_orderkey") % 50 == 0
+    first = F.col("o_orderkey") % 2 == 0
     orders.where(~first).write.json(path)
-    rows = F.to_json(F.collect_list(F.struct(*orders.columns)))
-    orders.where(first).agg(rows.alias("value")).coalesce(1).write.mode("append").text(path)
+    as_arrays(orders.where(first), path)
     return readers.read_json(spark, path).select(*orders.columns)
 
 
+@query
+def read_json_arrays(spark, sf_dir):
+    """Arrays whose strings hold brackets, quotes and escaped line breaks, read by ranges."""
+    path = shared_path(spark, "arrays") + ".json"
+    as_arrays(table(spark, sf_dir, "documents"), path)
+    return readers.read_any(spark, path)
+
+
 @query
 def read_csv_reordered(spark, sf_dir):
     """Two files with their columns in different orders."""
@@ -446,15 +461,24 @@ def read_tsv(spark, sf_dir):
 def read_csv_text(spark, sf_dir):
     """Texts with quotes, commas and line breaks survive."""
     path = shared_path(spark, "texts") + ".csv"
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    texts = table(spark, sf_dir, "documents")
     texts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return readers.read_csv(spark, path, multi_line=True)
 
 
+@query
+def read_csv_ranges(spark, sf_dir):
+    """Files cut into small ranges, many of which begin inside a quoted field."""
+    path = shared_path(spark, "ranges") + ".csv"
+    table(spark, sf_dir, "pages").write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_any(spark, path)
+
+
 @query
 def read_json(spark, sf_dir):
     path = shared_path(spark, "json") + ".json"
-    table(spark, sf_dir, "orders").drop("o_orderdate").write.json(path)
+    orders = table(spark, sf_dir, "orders")
+    orders.withColumn("o_orderdate", F.col("o_orderdate").cast("string")).write.json(path)
     return readers.read_any(spark, path)
 
 

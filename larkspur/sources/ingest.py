@@ -29,8 +29,8 @@ from larkspur.session import cut_lineage, shared_path
 from larkspur.sources.catalog import Catalog
 from larkspur.sources.excel import cell_types, typed_cells, workbook_cells
 from larkspur.sources.infer import kinds, type_choices
-from larkspur.sources.readers import BAD_RECORD, MAX_MB, READERS, checked_files, first_lines, raw_text, too_long
-from larkspur.sources.splits import json_records
+from larkspur.sources.readers import BAD_RECORD, MAX_MB, READERS, checked_files, first_lines, raw_text, spans_lines, too_long
+from larkspur.sources.splits import json_records, with_paths
 
 log = logging.getLogger(__name__)
 
@@ -194,7 +194,7 @@ def _json_values(spark: SparkSession, files: list[_File], variant: str) -> DataF
     """(path, value): one record a row, files being read by ranges."""
     paths = [_literal(f.path) for f in files]
     if variant == "array":
-        return json_records(spark, paths).withColumn("path", _decoded(F.col("path")))
+        return with_paths(spark, paths, json_records(spark, paths)).withColumn("path", _decoded(F.col("path")))
     return spark.read.text(paths).where(F.trim("value") != "").select(_source_path().alias("path"), "value")
 
 
@@ -323,12 +323,10 @@ def _by_types(files: list[_File], found: dict[str, list[str]]) -> Iterator[tuple
 def _typed_text(spark: SparkSession, sep: str, files: list[_File]) -> Iterator[tuple[list[_File], DataFrame]]:
     header = list(files[0].header)
 
-    def raw(members: list[_File]) -> DataFrame:
-        paths = [_literal(f.path) for f in members]
-        rows = raw_text(spark, paths, header, sep, multi_line=True, with_path=True)
-        return rows.withColumn("__path", _decoded(F.col("__path")))
-
-    looked_at = raw(files).select("__path", *kinds(header), too_long(header, sep).alias("__long"))
+    paths = [_literal(f.path) for f in files]
+    raw = raw_text(spark, paths, header, sep, spans_lines(spark, paths), with_path=True)
+    raw = raw.withColumn("__path", _decoded(F.col("__path")))
+    looked_at = raw.select("__path", *kinds(header), too_long(header, sep).alias("__long"))
     facts = looked_at.groupBy("__path").agg(
         type_choices(header).alias("types"),
         F.count_if("__long").alias("long"),
@@ -348,7 +346,7 @@ def _typed_text(spark: SparkSession, sep: str, files: list[_File]) -> Iterator[t
         else:
             filled.append(f)
     for types, members in _by_types(filled, {p: r["types"] for p, r in found.items()}):
-        table = _with_id(spark, raw(members).drop(BAD_RECORD), "__path", members)
+        table = _with_id(spark, raw.drop(BAD_RECORD), "__path", members)
         yield members, table.select(
             *[col(c).cast(t).alias(c) for c, t in zip(header, types)], "dataset_id"
         )

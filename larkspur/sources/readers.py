@@ -66,8 +66,7 @@ def raw_text(
     Files of any size are read by ranges; with `multi_line` each range finds out whether it begins inside a quoted field.
     """
     if multi_line:
-        rows = split_csv(spark, paths, header, sep, BAD_RECORD, text_options(sep))
-        return rows if with_path else rows.drop("__path")
+        return split_csv(spark, paths, header, sep, BAD_RECORD, text_options(sep), with_path)
     fields = [T.StructField(c, T.StringType()) for c in [*header, BAD_RECORD]]
     read = spark.read.schema(T.StructType(fields)).option("header", True).options(**text_options(sep))
     rows = read.option("columnNameOfCorruptRecord", BAD_RECORD).csv(paths)
@@ -81,7 +80,7 @@ def too_long(header: list[str], sep: str) -> Column:
     return F.coalesce(separators >= len(header), F.lit(False))
 
 
-def _spans_lines(spark: SparkSession, path: str) -> bool:
+def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether a quoted field may hold a line break: a line then has an odd number of quotes.
 
     The data decides for files of any size, because only files without such fields can be split among tasks.
@@ -114,7 +113,7 @@ def read_csv(
     `multi_line` forces or forbids line breaks inside quoted fields; by default the data decides.
     """
     if multi_line is None:
-        multi_line = _spans_lines(spark, path)
+        multi_line = spans_lines(spark, path)
     names = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
     heads = first_lines(spark, path).withColumn("line", F.regexp_replace("line", "\r$", ""))
     alike = heads.groupBy("line").agg(F.min("file").alias("first"), F.count("*").alias("files")).orderBy("first").collect()

@@ -6,8 +6,8 @@ ranges before it. So every range first tells what it does to each state that it
 compose these effects, and then each task knows the state at its first line. It puts together the records that lie in its range. A
 record across ranges leaves a fragment in each, and these few are joined by file and position.
 
-Tasks get the states of ranges as one table, some 24 bytes for a range of 128 MB. The work is two scans of the text, plus
-one, over the ranges with fragments alone, for those.
+Tasks get the states of ranges as one table, some 24 bytes for a range of 128 MB. The work is two scans of the text; the records are
+kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.session import shared_path
+from larkspur.session import cut_lineage, shared_path
 
 # Executors need no installed copy of this module: its functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -209,14 +209,14 @@ class States:
 
 
 def _pieces(lines: DataFrame, form: Format, states: States, header: bool) -> DataFrame:
-    """Rows (file, start, path, kind, value): records and fragments of all ranges in `lines`.
+    """Rows (file, start, kind, value): records and fragments of all ranges.
 
     With `header` the first record of a file is left out; if it crosses ranges its fragment is marked FIRST.
     """
-    schema = pa.schema([("file", pa.int64()), ("start", pa.int64()), ("path", pa.string()), ("kind", pa.int32()), ("value", pa.string())])
+    schema = pa.schema([("file", pa.int64()), ("start", pa.int64()), ("kind", pa.int32()), ("value", pa.string())])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, path, state, kept, crossed, skip = None, None, (), [], False, False
+        held, state, kept, crossed, skip = None, (), [], False, False
 
         def rest() -> Iterator[pa.RecordBatch]:
             """What is left of a range: the start of a record that goes on in the next, or all of it lies in one."""
@@ -226,7 +226,7 @@ def _pieces(lines: DataFrame, form: Format, states: States, header: bool) -> Dat
 
         def rows(values, kinds) -> pa.RecordBatch:
             count = len(values)
-            columns = [pa.array([x] * count, t) for x, t in zip((*held, path), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+            columns = [pa.array(np.full(count, x)) for x in held]
             values = values if isinstance(values, pa.Array) else pa.array(values, pa.string())
             return pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.int32()), values], schema=schema)
 
@@ -236,7 +236,7 @@ def _pieces(lines: DataFrame, form: Format, states: States, header: bool) -> Dat
                 at = (part.column("file")[0].as_py(), part.column("start")[0].as_py())
                 if at != held:
                     yield from rest()
-                    held, path, state, kept = at, part.column("path")[0].as_py(), states.at(*at), []
+                    held, state, kept = at, states.at(*at), []
                     crossed, skip = form.crossed(at[1], state), header and at[1] == 0
                 values = part.column("value")
                 after = form.after(values, state)
@@ -262,8 +262,8 @@ def _pieces(lines: DataFrame, form: Format, states: States, header: bool) -> Dat
                     yield rows(whole, kinds)
         yield from rest()
 
-    given = lines.select("value", F.xxhash64("file").alias("file"), "start", F.col("file").alias("path"))
-    return given.mapInArrow(put, "file long, start long, path string, kind int, value string")
+    given = lines.select("value", F.xxhash64("file").alias("file"), "start")
+    return given.mapInArrow(put, "file long, start long, kind int, value string")
 
 
 def _joined(fragments: DataFrame, form: Format) -> DataFrame:
@@ -273,7 +273,6 @@ def _joined(fragments: DataFrame, form: Format) -> DataFrame:
     numbered = fragments.withColumn("number", F.sum(later.cast("int")).over(order)).withColumn("later", later)
     parts = F.array_sort(F.collect_list(F.struct("start", "later", "value")))
     grouped = numbered.groupBy("file", "number").agg(
-        F.first("path").alias("path"),
         F.array_join(F.transform(parts, lambda p: p["value"]), form.end).alias("value"),
         F.max((F.col("kind") == FIRST).cast("int")).alias("first"),
         F.max((F.col("kind") == HEAD).cast("int")).alias("ended"),
@@ -283,49 +282,46 @@ def _joined(fragments: DataFrame, form: Format) -> DataFrame:
 
 @dataclass
 class Records:
-    """All records of some files: `whole` lie within a range, `crossing` (or None) across ranges; both as (path, value, ended).
+    """All records of some files: `whole` lie within a range, `crossing` across ranges; both as (file, value, ended).
 
     What a file ends with, if no record, is among the crossing ones, `ended` being false.
     """
 
     whole: DataFrame
-    crossing: DataFrame | None
+    crossing: DataFrame
     files: int
 
     @property
     def all(self) -> DataFrame:
-        return self.whole if self.crossing is None else self.whole.unionByName(self.crossing)
+        return self.whole.unionByName(self.crossing)
 
 
 def records(spark: SparkSession, paths: list[str], form: Format, header: bool = False) -> Records:
-    """The records of the files as text, without the first one of each if that is its header."""
-    found = sorted((r["file"], r["start"], r["state"]) for r in ranges(spark, paths, form).collect())
-    states, files = States.of(found), len({f for f, _, _ in found})
-    lines = _lines(spark, paths, form)
-    columns = ("path", "value", "ended")
-    whole = _pieces(lines, form, states, header).where(F.col("kind") == RECORD).withColumn("ended", F.lit(True)).select(*columns)
-    # ranges with fragments: those that begin inside a record, those before them, and the last of each file
-    edges = []
-    for i, (file, start, state) in enumerate(found):
-        last = i + 1 == len(found) or found[i + 1][0] != file
-        if last or form.crossed(start, state) or form.crossed(*found[i + 1][1:]):
-            edges.append((file, start))
-    if not edges:
-        return Records(whole, None, files)
-    held = spark.createDataFrame(edges, "edge_file long, edge_start long")  # 16 bytes a range
-    same = (F.xxhash64("file") == F.col("edge_file")) & (F.col("start") == F.col("edge_start"))
-    near = lines.join(F.broadcast(held), same, "left_semi")
-    fragments = _pieces(near, form, states, header).where(F.col("kind") != RECORD)
-    return Records(whole, _joined(fragments, form).withColumn("ended", F.col("ended") == 1).select(*columns), files)
+    """The records of the files as text, without the first one of each if that is its header.
+
+    Records are kept in the shared folder, since readers look at them twice at least: for types, then for values.
+    """
+    found = [(r["file"], r["start"], r["state"]) for r in ranges(spark, paths, form).collect()]
+    pieces = cut_lineage(_pieces(_lines(spark, paths, form), form, States.of(found), header), "records")
+    whole = pieces.where(F.col("kind") == RECORD).select("file", "value", F.lit(True).alias("ended"))
+    crossing = _joined(pieces.where(F.col("kind") != RECORD), form).select("file", "value", (F.col("ended") == 1).alias("ended"))
+    return Records(whole, crossing, len({f for f, _, _ in found}))
+
+
+def with_paths(spark: SparkSession, paths: list[str], rows: DataFrame) -> DataFrame:
+    """The files' paths in `path`, in place of their hashes in `file`; only the listing is read for them."""
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
+    return rows.join(listed.withColumn("file", F.xxhash64("path")), "file").drop("file")
 
 
 # --- formats ----------------------------------------------------------------------------------------------
 
 
 def split_csv(
-    spark: SparkSession, paths: list[str], columns: list[str], sep: str, bad_record: str, options: dict[str, str]
-) -> DataFrame:
-    """Rows of delimited files with a header: every column as text, `bad_record` for ragged rows, and `__path`.
+    spark: SparkSession, paths: list[str], columns: list[str], sep: str, bad_record: str, options: dict[str, str],
+    with_path: bool = False,
+) -> DataFrame:
+    """Rows of delimited files with a header: every column as text, `bad_record` for ragged rows, and `__path` if wanted.
 
     Records end with a line feed, with or without a carriage return before it. A field that is never closed holds the rest of the file.
     """
@@ -334,7 +330,10 @@ def split_csv(
     text = records(spark, paths, Delimited(sep), header=True).all.withColumn("value", F.when(value.endswith("\r"), bare).otherwise(value))
     schema = ", ".join(f"{_quoted(c)} string" for c in [*columns, bad_record])
     parsed = F.from_csv("value", schema, {**options, "columnNameOfCorruptRecord": bad_record})
-    return text.where(F.trim("value") != "").select(parsed.alias("__row"), F.col("path").alias("__path")).select("__row.*", "__path")
+    rows = text.where(F.trim("value") != "").select(parsed.alias("__row"), "file")
+    if not with_path:
+        return rows.select("__row.*")
+    return with_paths(spark, paths, rows).select("__row.*", F.col("path").alias("__path"))
 
 
 def _quoted(name: str) -> str:
@@ -347,18 +346,18 @@ def _object(value: Column) -> Column:
 
 
 def json_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, value): the records of files that hold one array each, a line each.
+    """(file, value): the records of files that hold one array each, a line each.
 
     Line breaks between the tokens of a record become spaces; strings cannot hold them. Something that is no record stays in its line;
     a file whose array is not closed is an error.
     """
     found = records(spark, paths, JsonArray())
     end = ~F.col("ended") & F.col("value").rlike(r"^\s*\[?\s*\]\s*$")
-    closed = found.crossing.where(end).select("path").distinct().count() if found.crossing is not None else 0
+    closed = found.crossing.where(end).select("file").distinct().count()
     if closed < found.files:
         raise ValueError(f"{found.files - closed} files end with something that is not a JSON record")
     text = F.when(F.col("ended"), _object(F.col("value"))).otherwise(F.col("value"))
-    return found.all.where(~end).select("path", F.translate(text, "\r\n", "  ").alias("value"))
+    return found.all.where(~end).select("file", F.translate(text, "\r\n", "  ").alias("value"))
 
 
 def split_json(spark: SparkSession, paths: list[str]) -> str:

@@ -70,7 +70,7 @@ def test_quotes_breaks_and_empty_fields(spark, write):
 
 def test_splittable_files(spark, write):
     plain, broken = write("plain.csv", "a,b\n1,x\n2,y\n"), write("broken.csv", 'a,b\n1,"x\ny"\n')
-    assert not readers._spans_lines(spark, plain) and readers._spans_lines(spark, broken)
+    assert not readers.spans_lines(spark, plain) and readers.spans_lines(spark, broken)
     assert readers.read_csv(spark, plain).count() == 2
     assert readers.read_csv(spark, broken).collect()[0]["b"] == "x\ny"
 
