@@ -25,7 +25,7 @@ def draws(kind, n=3000):
 @pytest.mark.parametrize("tiny", [False, True])
 def test_equals_sorting(spark, monkeypatch, kind, tiny):
     if tiny:  # many passes with a coarse sketch
-        monkeypatch.setattr(Q, "ACCURACY", 16)
+        monkeypatch.setattr(Q, "SKETCH", 16)
         monkeypatch.setattr(Q, "FINISH_ROWS", 8)
     values = draws(kind)
     df = spark.createDataFrame([(v,) for v in values], "a double")
@@ -78,9 +78,9 @@ SPREADS = {
 
 
 def test_passes_do_not_depend_on_the_spread(spark, monkeypatch):
-    """A look for the ranges, two for the brackets, one for the rest."""
+    """Two scans after the first aggregate: counts at the edges, and the values between them."""
     passes = []
-    for name, cost in (("_count_bins", 2), ("_count_values", 1)):
+    for name, cost in (("_count_edges", 1), ("_fetch", 1)):
         real = getattr(Q, name)
         monkeypatch.setattr(Q, name, lambda *a, real=real, cost=cost: (passes.append(cost), real(*a))[1])
     df = spark.range(300_000).selectExpr(*[f"{e} AS {n}" for n, e in SPREADS.items()]).cache()
@@ -89,9 +89,23 @@ def test_passes_do_not_depend_on_the_spread(spark, monkeypatch):
         passes.clear()
         found = Q.quantiles(df, [name], [0.25, 0.5, 0.9])[name]
         assert found == pytest.approx(list(local[name].quantile([0.25, 0.5, 0.9])), rel=1e-12)
-        assert 1 + sum(passes) <= 5
+        assert sum(passes) <= 2
     passes.clear()
     together = Q.quantiles(df, list(SPREADS), [0.25, 0.5, 0.9])
-    assert 1 + sum(passes) <= 5
+    assert sum(passes) <= 2
     assert together["decades"] == pytest.approx(list(local["decades"].quantile([0.25, 0.5, 0.9])), rel=1e-12)
     df.unpersist()
+
+
+def test_one_pass_more_for_few_rows_to_fetch(spark, monkeypatch):
+    """Ranges too large to fetch are narrowed again, from the sketches that came with the counts."""
+    monkeypatch.setattr(Q, "FINISH_ROWS", 100)
+    passes = []
+    for name in ("_count_edges", "_fetch"):
+        real = getattr(Q, name)
+        monkeypatch.setattr(Q, name, lambda *a, real=real, name=name: (passes.append(name), real(*a))[1])
+    df = spark.range(100_000).selectExpr("pow(10D, 600 * rand(3) - 300) AS v").cache()
+    local = df.toPandas()["v"]
+    assert Q.quantiles(df, ["v"], [0.1, 0.5])["v"] == pytest.approx(list(local.quantile([0.1, 0.5])), rel=1e-12)
+    assert 2 <= passes.count("_count_edges") <= 4 and passes.count("_fetch") == 1
+    df.unpersist()
