@@ -1,11 +1,13 @@
 """Mix sources to target weights.
 
-Every row gets a hash in place of a random key. Within each source the rows are ranged by that key, prefix sums of their sizes
+Every row gets a hash of its id and text in place of a random key. Within each source the rows are ranged by that key, prefix sums of their sizes
 are added up over the ranges, and the mix takes the rows before the source's budget: whole epochs first, then the rows
 whose middle lies before what is left. So a source is off its budget by half a row at most, and reruns agree.
 
 A null source is a source, the last one; a null text has no words. Rows without words take part but add nothing. Sources
-are few enough for the driver (their weights are a setting); rows are not.
+are few enough for the driver (their weights are a setting); rows are not. Rows without an id, or with one id, have keys of their own
+as long as their texts differ; rows that agree in both share a key, and those with more words come later, in any order among
+equals, which have equal results in sum. An empty table gives no rows. Other columns stay, unless they are named like a new one.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def mix(
         F.struct(*[field(c) for c in df.columns]).alias("row"),
         field(source).cast("string").alias("source"),
         n_words(field(text)).alias("size"),
-        random_key(salt, field(key)).alias("key"),
+        random_key(salt, field(key), field(text)).alias("key"),
         F.coalesce(field(key).cast("long"), F.lit(0)).alias("id"),
     )
     scratch = Scratch(spark, "mix")
@@ -96,7 +98,7 @@ ORACLE = {
     "op4_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+    CAST('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS key
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
