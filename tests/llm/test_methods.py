@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from conftest import TESTDATA
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from larkspur.llm import components, hnsw, huffman, maxent, mixing, neardup, packing, queries, rules, sharding, tokens, weaklabels
@@ -42,8 +43,6 @@ def lower(text):
 
 
 def test_tokens_match_the_library(texts, monkeypatch):
-    from tokenizers import Tokenizer
-
     monkeypatch.setattr(tokens, "CHUNK_BYTES", 50_000)
     monkeypatch.setattr(tokens, "REMEMBERED", 3000)
     encode, library = tokens.Encoder(tokens.vocabulary_path()), Tokenizer.from_file(tokens.vocabulary_path())
@@ -362,6 +361,67 @@ def test_packing_is_as_good_as_best_fit(spark):
     assert max(held.values()) <= packing.SEQUENCE and len(held) <= len(room)
 
 
+@pytest.mark.parametrize("times", [1, 7, 10**6])
+def test_program_beats_largest_first(times):
+    """Halves, and quarters of three kinds: largest first needs 11 sequences where 9 are enough."""
+    lengths, counts = np.array([492, 522, 532, 1034]), np.array([12, 6, 6, 6]) * times
+    chosen = packing.configurations(lengths, counts)
+    assert (sum(c * n for c, n in chosen) == counts).all() and all(c @ lengths <= packing.SEQUENCE for c, _ in chosen)
+    left, greedy = counts.copy(), 0
+    while left.any():
+        config = packing.filling(lengths, left, packing.SEQUENCE)
+        number = int((left[config > 0] // config[config > 0]).min())
+        left, greedy = left - config * number, greedy + number
+    assert sum(n for _, n in chosen) == 9 * times and greedy == 11 * times
+
+
+def test_program_is_solved(texts):
+    """The solution covers every piece once, is within 1 % of its bound, and nearly all sequences come from it."""
+    tokenizer = Tokenizer.from_file(tokens.vocabulary_path())
+    sizes = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts.values()]
+    cut = [x for n in sizes for x in [packing.SEQUENCE] * (n // packing.SEQUENCE) + [n % packing.SEQUENCE] * (n % packing.SEQUENCE > 0)]
+    lengths, counts = np.unique(cut, return_counts=True)
+    solution, _ = packing.fractional(lengths, counts, packing.SEQUENCE)
+    covered = np.zeros(len(lengths))
+    for config, times in solution.uses.items():
+        assert sum(int(lengths[j]) * n for j, n in config) <= packing.SEQUENCE
+        for j, n in config:
+            covered[j] += n * times
+    assert covered == pytest.approx(counts) and -1e-9 <= solution.gap <= 0.01
+    taken = sum(config * times for config, times in packing.rounded(solution, counts))
+    assert (taken <= counts).all() and taken @ lengths >= 0.8 * (counts @ lengths)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_any_lengths_are_packed(seed):
+    random = np.random.default_rng(seed)
+    lengths, counts = np.unique(random.integers(1, 41, random.integers(1, 300)), return_counts=True)
+    chosen = packing.configurations(lengths, counts, 40)
+    assert (sum(c * n for c, n in chosen) == counts).all() and all(c @ lengths <= 40 and n > 0 for c, n in chosen)
+    solution, _ = packing.fractional(lengths, counts, 40)
+    assert solution.gap <= 0.05 and sum(n for _, n in chosen) <= solution.bound * 1.03 + 2
+
+
+def test_packed_ids_match_the_library(spark, texts):
+    """start, piece, length and checksum of every piece, from whole texts encoded by the library; ids are carried."""
+    tokenizer, want = Tokenizer.from_file(tokens.vocabulary_path()), set()
+    for i, text in texts.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END_ID], dtype="<u4")
+        for piece, start in enumerate(range(0, len(ids), packing.SEQUENCE)):
+            part = ids[start : start + packing.SEQUENCE]
+            want.add((i, piece, start, len(part), zlib.crc32(part.tobytes())))
+    rows = queries.QUERIES["op10_pack_sequences"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+
+
+def test_rows_without_ids_are_dealt(spark):
+    """A third of the rows without an id, a third with one id: the keys of the mix and of packing still differ."""
+    df = spark.range(3000).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE id END AS doc_id", "concat('text ', id) AS text", "'s' AS source")
+    assert packing.pieces(df).select("key").distinct().count() == 3000
+    mixed = mixing.mix(df)
+    assert mixed.count() == 3000 and mixed.agg({"taken": "sum"}).first()[0] == 6000
+
+
 def test_knapsack():
     lengths, prices = np.array([3, 4, 7]), np.array([3.0, 4.5, 7.6])
     assert packing.knapsack(lengths, prices, 14).tolist() == [0, 0, 2]  # 15.2 against 15.0 for [2, 2, 0]
