@@ -312,19 +312,65 @@ def is_complex(df: DataFrame, column: str) -> bool:
 GRAINS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond")
 
 
+# The least number of microseconds between two times cut to a grain (a day may lack an hour).
+_SECOND = 1_000_000
+_DAY = 23 * 3600 * _SECOND
+LEAST_STEP = {
+    "year": 365 * _DAY, "quarter": 90 * _DAY, "month": 28 * _DAY, "week": 7 * _DAY, "day": _DAY, "hour": 1800 * _SECOND,
+    "minute": 60 * _SECOND, "second": _SECOND, "millisecond": 1000, "microsecond": 1,
+}
+
+MAX_POINTS = 8000
+
+
+def thinned(points: DataFrame, time: str, value: str, least: int, most: int, max_points: int) -> DataFrame:
+    """At most `max_points` points that draw the same line: first, last, least and largest of each of `max_points` / 4 spans of time.
+
+    `points` has one row per time, between the microseconds `least` and `most`. Of equal values the earliest counts, and nulls are neither
+    least nor largest. It is one aggregate, combined before the shuffle: a task sends at most one row per span.
+    """
+    width = (most - least) // (max_points // 4) + 1
+    moment, amount = F.unix_micros(col(time)), col(value)
+    span = F.call_function("div", moment - least, F.lit(width))
+
+    def ranked(by: Column) -> Column:
+        return F.when(amount.isNotNull(), F.struct(amount.alias("v"), by.alias("m"), col(time).alias("t")))
+
+    point = F.struct(col(time).alias("t"), amount.alias("v"))
+    low, high = F.min(ranked(moment)), F.max(ranked(-moment))
+    ends = points.groupBy(span.alias("__span")).agg(
+        F.min_by(point, moment).alias("first"), F.max_by(point, moment).alias("last"), low.alias("low"), high.alias("high")
+    )
+    marks = [F.col("first"), F.col("last"), *[F.when(F.col(c).isNotNull(), F.struct(f"{c}.t", f"{c}.v")) for c in ("low", "high")]]
+    each = ends.select(F.explode(F.array_distinct(F.array_compact(F.array(*marks)))).alias("p"))
+    return each.select(F.col("p.t").alias(time), F.col("p.v").alias(value))
+
+
 @register_chart("line")
-def line(df: DataFrame, time: str, value: str | None = None, grain: str = "day", how: str = "mean") -> Chart:
-    """One point per `grain` of the time column: the row count, or mean / sum / min / max of `value`."""
+def line(
+    df: DataFrame, time: str, value: str | None = None, grain: str = "day", how: str = "mean", max_points: int = MAX_POINTS
+) -> Chart:
+    """One point per `grain` of the time column: the row count, or mean / sum / min / max of `value`.
+
+    More than `max_points` points are thinned: each of `max_points` / 4 spans of time keeps its first, last, least and largest.
+    """
     check_columns(df, [time, *([value] if value else [])])
     functions = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     if how not in functions:
         raise ValueError(f"unknown aggregate: {how}")
     if grain.lower() not in GRAINS:
         raise ValueError(f"unknown grain: {grain}")
+    if max_points < 4:
+        raise ValueError("max_points must be at least 4")
     key = value or "count"
     aggregate = functions[how](finite_only(col(value))) if value else F.count("*")
-    moment = F.date_trunc(grain, col(time)).alias(time)
-    data = df.where(col(time).isNotNull()).groupBy(moment).agg(aggregate.alias(key)).orderBy(col(time))
+    moment = F.date_trunc(grain, col(time))
+    data = df.where(col(time).isNotNull()).groupBy(moment.alias(time)).agg(aggregate.alias(key))
+    least, most = df.agg(F.min(F.unix_micros(moment)), F.max(F.unix_micros(moment))).first()
+    # points are counted only where the times allow for too many
+    if least is not None and (most - least) // LEAST_STEP[grain.lower()] >= max_points and data.count() > max_points:
+        data = thinned(data, time, key, least, most, max_points)
+    data = data.orderBy(col(time))
     label = f"{how} of {value}" if value else "Count"
     return Chart("line", f"{label} per {grain}", Axis(time, time, "time"), Axis(key, label, "numeric"), key, data)
 

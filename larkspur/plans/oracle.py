@@ -155,6 +155,14 @@ ORACLE["correlation_heatmap"] = " UNION ALL ".join(
 ORACLE["scatter_sample"] = """SELECT l_quantity, l_extendedprice FROM lineitem
     ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber)), l_quantity, l_extendedprice LIMIT 1000"""
 ORACLE["line_daily"] = f"SELECT date_trunc('day', ts)::DATE AS ts, {r('avg(value)')} AS value FROM events GROUP BY 1"
+ORACLE["line_thinned"] = """
+    WITH p AS (SELECT ts, max(value) AS value FROM events WHERE ts IS NOT NULL GROUP BY ts),
+    e AS (SELECT min(epoch_us(ts)) AS origin, (max(epoch_us(ts)) - min(epoch_us(ts))) // 100 + 1 AS width, count(*) AS n FROM p),
+    b AS (SELECT ts, value, n, (epoch_us(ts) - origin) // width AS span FROM p, e),
+    k AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY ts) AS first, row_number() OVER (PARTITION BY span ORDER BY ts DESC) AS last,
+        row_number() OVER (PARTITION BY span ORDER BY value NULLS LAST, ts) AS low,
+        row_number() OVER (PARTITION BY span ORDER BY value DESC NULLS LAST, ts) AS high FROM b)
+    SELECT ts, value FROM k WHERE n <= 400 OR first = 1 OR last = 1 OR (value IS NOT NULL AND (low = 1 OR high = 1))"""
 ORACLE["pie_share"] = f"""
     WITH c AS (SELECT event_type AS category, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type NULLS LAST) AS k
                FROM {NULLS} GROUP BY event_type), t AS (SELECT sum(n)::BIGINT AS total FROM c)

@@ -203,6 +203,12 @@ def line_daily(spark, sf_dir):
     return data.select(F.col("ts").cast("date").alias("ts"), rounded("value").alias("value"))
 
 
+@query
+def line_thinned(spark, sf_dir):
+    data = charts.line(table(spark, sf_dir, "events"), "ts", "value", "microsecond", "max", max_points=400).data
+    return data.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+
+
 @query
 def pie_share(spark, sf_dir):
     return charts.pie(with_nulls(spark, sf_dir), "event_type", 3).data.select("category", "count", rounded("share", 6).alias("share"))

@@ -75,6 +75,27 @@ def test_scatter_is_repeatable_and_finite(spark, sf001):
     assert points(C.scatter(odd, "x", "y")) == [{"x": 3.0, "y": 4.0}]
 
 
+def test_line_is_thinned(spark):
+    """At most max_points, with first, last and the extremes of every span; gaps stay gaps, short lines stay whole."""
+    rows = [(i, None if i % 7 == 0 else float((i * 7919) % 1009)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "i long, v double").selectExpr("timestamp_micros(i * 3000000 + 11) AS t", "v")
+    full = C.line(df, "t", "v", "microsecond", "max", max_points=5000).data.collect()
+    thin = C.line(df, "t", "v", "microsecond", "max", max_points=80).data.collect()
+    assert len(full) == 5000 and len(thin) <= 80 and set(thin) <= set(full)
+    assert thin[0] == full[0] and thin[-1] == full[-1] and [r["t"] for r in thin] == sorted(r["t"] for r in thin)
+    width = (4999 * 3000000) // 20 + 1
+    for span in range(20):
+        inside = [(i, v) for i, v in rows if i * 3000000 // width == span]
+        values = [v for _, v in inside if v is not None]
+        kept = [r["v"] for r in thin if (int(r["t"].timestamp() * 10**6 + 0.5) - 11) // width == span]
+        assert min(values) in kept and max(values) in kept and kept[0] == inside[0][1] and kept[-1] == inside[-1][1]
+    none = df.selectExpr("t", "CAST(NULL AS double) AS v")
+    assert len(C.line(none, "t", "v", "microsecond", "max", max_points=8).data.collect()) == 4
+    assert C.line(df.limit(0), "t", "v", "microsecond", max_points=8).data.collect() == []
+    with pytest.raises(ValueError):
+        C.line(df, "t", "v", max_points=3)
+
+
 def test_line(spark):
     df = spark.createDataFrame(
         [("2024-01-02 05:00:00", 1.0), ("2024-01-01 01:00:00", 2.0), ("2024-01-01 09:00:00", 4.0)], "t string, v double"
