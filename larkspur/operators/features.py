@@ -26,6 +26,8 @@ from larkspur.operators.profile import categorical_columns
 
 #: Vector slots of a column that has too many values for one indicator each.
 HASH_SLOTS = 64
+#: Classes that a target may have; the driver holds their names, and a forest counts each in every node.
+MAX_CLASSES = 10_000
 
 
 @dataclass
@@ -135,7 +137,9 @@ def fit_features(
     classes: list[str] = []
     if task == "classification":
         values = known.select(col(target).alias("v")).distinct().orderBy("v")
-        texts = values.select(F.col("v").cast("string").alias("v")).collect()
+        texts = values.limit(MAX_CLASSES + 1).select(F.col("v").cast("string").alias("v")).collect()
+        if len(texts) > MAX_CLASSES:
+            raise ValueError(f"{target} has over {MAX_CLASSES} different values: too many for classes")
         classes = list(dict.fromkeys(r["v"] for r in texts))
 
     model = Stages(stages=stages).fit(known)

@@ -101,6 +101,14 @@ def test_target_of_many_classes(spark):
     assert metrics.classification_metrics(model.transform(ready).select("label", "prediction")).first()["accuracy"] > 0.5
 
 
+def test_target_with_too_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(features, "MAX_CLASSES", 30)
+    df = spark.range(31).selectExpr("id AS y", "id AS x")
+    with pytest.raises(ValueError, match="too many"):
+        features.fit_features(df, "y", "classification", ["x"])
+    assert len(features.fit_features(df.where("y < 30"), "y", "classification", ["x"]).classes) == 30
+
+
 def test_missing_vector_is_an_error(spark):
     from pyspark.ml.linalg import Vectors
 
