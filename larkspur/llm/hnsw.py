@@ -68,7 +68,7 @@ class Graph:
         seen[:, count] = True
         seen[rows, start] = True
         points = np.full((len(queries), width), count)
-        distances = np.full((len(queries), width), np.inf, dtype=np.float32)
+        distances = np.full((len(queries), width), np.inf)
         opened = np.ones((len(queries), width), dtype=bool)
         points[:, : start.shape[1]] = start
         distances[:, : start.shape[1]] = self._distance(queries, start)
@@ -97,7 +97,7 @@ class Graph:
             found.sort(axis=1)
             found = found[:, : max(1, int((found < count).sum(axis=1).max()))]
             seen[active[:, None], found] = True
-            away = np.where(found < count, self._distance(queries[active], np.minimum(found, count - 1)), np.inf).astype(np.float32)
+            away = np.where(found < count, self._distance(queries[active], np.minimum(found, count - 1)), np.inf)
             both = np.concatenate([distances[active], away], axis=1)
             which = np.concatenate([points[active], found], axis=1)
             done = np.concatenate([opened[active], found == count], axis=1)
@@ -198,9 +198,13 @@ def _link_back(vectors: np.ndarray, norms: np.ndarray, links: np.ndarray, here:
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """One more component, so that all points have the largest norm and nearest means largest inner product."""
+    """One more component, so that all points have the largest norm and nearest means largest inner product.
+
+    In double precision and in units of the largest component, so that a very long vector neither overflows nor hides the others.
+    """
+    vectors = vectors / max(float(np.abs(vectors).max()), np.finfo(np.float64).tiny)
     norms = np.einsum("nd,nd->n", vectors, vectors)
-    return np.concatenate([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1).astype(np.float32)
+    return np.concatenate([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1)
 
 
 # --- jobs -------------------------------------------------------------------------------------------------
@@ -278,7 +282,8 @@ def search(indexed: DataFrame, queries: DataFrame, shards: int, k: int, width: i
                 points, vectors, graph = loaded
                 names = np.frombuffer(row["queries"], dtype="<i8")
                 wanted = np.frombuffer(row["body"], dtype="<f8").reshape(len(names), -1)
-                near = graph.search(np.pad(wanted, ((0, 0), (0, 1))).astype(np.float32), min(width, max(len(points), 1)))[1]
+                scaled = wanted / np.abs(wanted).max(axis=1, keepdims=True)  # the order of its products stays
+                near = graph.search(np.pad(scaled, ((0, 0), (0, 1))), min(width, max(len(points), 1)))[1]
                 real = near < len(points)
                 safe = np.minimum(near, len(points) - 1)
                 scores = np.where(real, np.einsum("qd,qnd->qn", wanted, vectors[safe]), -np.inf)

@@ -198,6 +198,20 @@ def test_nearest_against_brute_force(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
+@pytest.mark.parametrize("longer", [1e4, 1e6])
+def test_one_very_long_vector(spark, longer):
+    random = np.random.default_rng(6)
+    vectors = random.normal(size=(1500, 16))
+    vectors[3] *= longer
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    hits = 0
+    for r in hnsw.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        scores = vectors @ vectors[r["query_id"]]
+        scores[r["query_id"]] = -np.inf
+        hits += scores[r["vec_id"]] >= np.sort(scores)[-20] - 1e-9
+    assert hits / (20 * 75) >= 0.9
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<float>")
     rows = hnsw.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
