@@ -1,5 +1,6 @@
 """Each method against brute force, a round trip, or held-out labels."""
 
+import bisect
 import heapq
 import math
 import re
@@ -76,6 +77,43 @@ def test_hot_group_is_cut(spark):
     assert len(sizes) == 8 and max(sizes) < 1.05 * min(sizes)
 
 
+def test_equal_rows_are_cut(spark):
+    """A third of the rows have neither id nor text, another third are one document without an id: both are cut."""
+    df = spark.range(6000, numPartitions=5).select(
+        F.when(F.col("id") % 3 == 2, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 1, "the same text " * 8).when(F.col("id") % 3 == 2, F.col("id").cast("string")).alias("text"),
+        F.create_map(F.lit("a"), F.lit(1)).alias("a map"),
+    )
+    rows = sharding.shard_by_bytes(df, 8, task_bytes=3000).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 6000 and len(sizes) == 8 and max(sizes.values()) <= 1.025 * min(sizes.values()) + 113
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_many_parts_are_data(spark):
+    """Thousands of parts: splitters at the bytes asked for, counts below them exact, the plan no longer than for a few."""
+    df = spark.range(30000, numPartitions=4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+    hi, lo = sharding.key_columns(df, "text")
+    keys = df.select(hi.alias("hi"), lo.alias("lo"), (F.octet_length("text") + 1).cast("long").alias("size")).cache()
+    exact = sorted(((r["hi"] + (1 << 63)) << 64 | (r["lo"] + (1 << 63)), r["size"]) for r in keys.collect())
+    total = sum(s for _, s in exact)
+    goals = [(total * i / 4000, 97.0) for i in range(1, 4000)]
+    found = sharding.find_splitters(keys, goals)
+    order, reach = [k for k, _ in exact], np.cumsum([0, *(s for _, s in exact)])
+    for (key, rows), (target, _) in zip(found, goals, strict=True):
+        assert bisect.bisect_left(order, key) == rows and abs(reach[rows] - target) <= 97
+    placed = keys.select("hi", "lo", sharding.place([k for k, _ in found])("hi", "lo").alias("part"))
+    for r in placed.sample(0.02, 3).collect():
+        own = (r["hi"] + (1 << 63)) << 64 | (r["lo"] + (1 << 63))
+        assert r["part"] == bisect.bisect_right([k for k, _ in found], own)
+    sharded = sharding.shard_by_bytes(df, 8, task_bytes=1000)
+    assert len(sharded._jdf.queryExecution().toString()) < 20000
+    assert sharded.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("gapless")).where("gapless").count() == 8
+
+
 # --- op2 --------------------------------------------------------------------------------------------------
 
 
