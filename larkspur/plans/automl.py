@@ -18,7 +18,7 @@ from larkspur.operators.estimators import Entry, list_for_task, settings, slot_i
 from larkspur.operators.features import features_target, fit_features, split_xy
 from larkspur.operators.metrics import classification_metrics, regression_metrics
 from larkspur.operators.ranking import rank_within
-from larkspur.operators.split import train_test_split
+from larkspur.operators.split import exact_split
 
 log = logging.getLogger(__name__)
 
@@ -70,12 +70,12 @@ def auto_train(
 ) -> AutoTrain:
     """Train every registered estimator of `task`; one that fails is logged and skipped.
 
-    Each side of the split is read once: the needed training columns are kept while the preparation is learnt, the
+    The test side has exactly ceil(test_size * rows) rows. Each side of the split is read once: the needed training columns are kept while the preparation is learnt, the
     prepared sides for all fits. `parallelism` fits that many models at a time.
     """
     entries = list_for_task(task)
     wanted, _ = split_xy(df, target, features)
-    sides = train_test_split(df.where(col(target).isNotNull()), test_size, seed, key)
+    sides = exact_split(df.where(col(target).isNotNull()), test_size, seed, key)
     train, test = (side.select(*map(col, [*wanted, target])) for side in sides)
     train.persist(StorageLevel.MEMORY_AND_DISK)
     try:

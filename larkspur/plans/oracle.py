@@ -288,6 +288,11 @@ ORACLE["session_messages"] = """SELECT conv_id AS session_id, turn AS created_at
 
 ORACLE["split_counts"] = """SELECT CASE WHEN md5(concat_ws('|', '42', l_orderkey, l_linenumber)) < '33333333' THEN 'test' ELSE 'train' END AS side,
     count(*) AS row_count FROM lineitem GROUP BY 1"""
+ORACLE["split_exact"] = """
+    WITH n AS (SELECT l_orderkey, l_linenumber, count(*) OVER () AS total,
+                   row_number() OVER (ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber))) AS place FROM lineitem)
+    SELECT CASE WHEN place <= ceil(0.2::DOUBLE * total) THEN 'test' ELSE 'train' END AS side, count(*) AS row_count,
+        CAST(sum(l_orderkey * 10 + l_linenumber) AS BIGINT) AS key_sum FROM n GROUP BY 1"""
 ORACLE["macro_f1"] = f"""
     WITH p AS (SELECT o_orderstatus AS label, CASE WHEN o_custkey % 3 = 0 THEN 'F' WHEN o_custkey % 7 = 0 THEN 'X'
                    ELSE o_orderstatus END AS guess FROM orders),

@@ -695,6 +695,17 @@ def split_counts(spark, sf_dir):
     return sides.groupBy("side").agg(F.count("*").alias("row_count"))
 
 
+@query
+def split_exact(spark, sf_dir):
+    """An exact fifth of all rows; the sums tell which rows they are."""
+    train, test = split.exact_split(table(spark, sf_dir, "lineitem"), 0.2, 42, ["l_orderkey", "l_linenumber"])
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy("side").agg(
+        F.count("*").alias("row_count"),
+        F.sum(F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("key_sum"),
+    )
+
+
 @query
 def macro_f1(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

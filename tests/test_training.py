@@ -1,4 +1,5 @@
 import logging
+import math
 import random
 
 import pytest
@@ -44,6 +45,45 @@ def test_split_without_key(spark):
     assert train.select("a").distinct().intersect(test.select("a").distinct()).count() == 0
 
 
+def test_exact_split(spark, sf001):
+    lines = spark.read.parquet(f"{sf001}/lineitem.parquet")
+    key = ["l_orderkey", "l_linenumber"]
+    for size in (0.2, 0.333, 0.999):
+        train, test = split.exact_split(lines, size, key=key)
+        assert test.count() == math.ceil(size * lines.count()) and train.count() + test.count() == lines.count()
+        assert train.columns == test.columns == lines.columns
+    train, test = split.exact_split(lines, key=key)
+    again = split.exact_split(lines.repartition(7), key=key)[1]
+    assert test.exceptAll(again).count() == 0 and train.unionByName(test).exceptAll(lines).count() == 0
+    wide = split.train_test_split(lines, 0.25, key=key)[1]  # both order rows by the same hash
+    assert test.exceptAll(wide).count() == 0
+    with pytest.raises(ValueError):
+        split.exact_split(lines, 0)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7, 1000])
+def test_exact_split_of_equal_rows(spark, rows):
+    """A third are one row, a third share a key, null keys too: the count is exact on any deal, `place_0` is a user's column."""
+    df = spark.range(rows, numPartitions=3).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 2, F.col("id")).alias("k"),
+        F.when(F.col("id") % 3 == 1, F.col("id")).alias("place_0"),
+    )
+    for key in (["k"], None):
+        train, test = split.exact_split(df, key=key)
+        assert test.count() == math.ceil(0.2 * rows) and train.count() == rows - math.ceil(0.2 * rows)
+        assert train.unionAll(test).exceptAll(df).count() == 0 and train.columns == df.columns
+
+
+def test_training_side_is_exact(spark, monkeypatch):
+    """Rows without a target count for neither side."""
+    seen = []
+    monkeypatch.setattr(automl, "exact_split", lambda df, *rest: seen.append(split.exact_split(df, *rest)) or seen[0])
+    monkeypatch.setattr(automl, "list_for_task", lambda task: [])
+    df = spark.range(101).select("id", (F.col("id") % 2).alias("x"), F.when(F.col("id") < 93, F.col("id") % 2).alias("target"))
+    automl.auto_train(df, "target", key=["id"])
+    assert [side.count() for side in seen[0]] == [74, 19]
+
+
 def predictions(spark, pairs, kind="string"):
     return spark.createDataFrame(pairs, f"label {kind}, prediction {kind}")
 
