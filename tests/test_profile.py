@@ -107,6 +107,18 @@ def test_categorical_gate(spark):
     assert P.numeric_columns(df) == ["n"]
 
 
+def test_distinct_whole_numbers_and_dates(spark):
+    """Neighbours share words of 64 bits: signs, ends of the range, edges of words, nulls, groups."""
+    numbers = [-1, 0, 1, 63, 64, 65, -63, -64, -65, 2**63 - 1, -(2**63), None, None, 0, 2**62]
+    days = [dt.date(1969, 12, 31), dt.date(1970, 1, 1), dt.date(1, 1, 1), dt.date(9999, 12, 31), None, dt.date(2024, 2, 29)]
+    rows = [(i % 2, n, days[i % len(days)], None if n is None else n % 100) for i, n in enumerate(numbers * 3)]
+    df = spark.createDataFrame(rows, "g int, n long, d date, b tinyint").repartition(4)
+    found = {r["position"]: r["unique_count"] for r in P.unique_counts(df).collect()}
+    assert found == {i: len({r[i] for r in rows}) for i in range(4)}
+    grouped = {(r["g"], r["position"]): r["unique_count"] for r in P.unique_counts(df, ["n", "d"], by=["g"]).collect()}
+    assert grouped == {(g, i - 1): len({r[i] for r in rows if r[0] == g}) for g in (0, 1) for i in (1, 2)}
+
+
 def test_correlation(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(300, 3))
