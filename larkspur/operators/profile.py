@@ -25,11 +25,13 @@ from larkspur.functions.types import (
     number,
     numeric_columns,
 )
+from larkspur.operators.gram import pair_sums
 from larkspur.operators.quantiles import quantiles
 
 STATS_TYPE = "struct<min:double,max:double,mean:double,std:double>"
 LONG_VALUE = 63  # longer strings are grouped by their SHA-256, which is 64 characters
 PAIRS_PER_PASS = 300
+LOST = 1e-6  # a variance below this share of its sum of squares has lost too many digits
 
 
 # --- counts -------------------------------------------------------------------------------------
@@ -295,17 +297,41 @@ def _centred_pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
 
 
+def _products(
+    values: DataFrame, fact: dict[str, Any], pairs: list[tuple[str, str]]
+) -> tuple[list[tuple[str, str, float | None]], list[tuple[str, str]]]:
+    """The correlations that sums of products give, both ways round, and the pairs whose sums lost too many digits."""
+    names = list(fact)
+    varying = [c for c in names if fact[c]["varies"]]
+    known: dict[tuple[str, str], float | None] = {p: None for p in pairs if not (fact[p[0]]["varies"] and fact[p[1]]["varies"])}
+    if len(varying) > 1:
+        found = pair_sums(
+            values.select(*[col(str(names.index(c))) for c in varying]),
+            [fact[c]["mean"] for c in varying],
+            [fact[c]["max"] - fact[c]["min"] for c in varying],
+        )
+        n, x, y = F.col("n"), F.col("xx") - F.col("x") * F.try_divide("x", "n"), F.col("yy") - F.col("y") * F.try_divide("y", "n")
+        sound = (n > 0) & (x > LOST * F.col("xx")) & (y > LOST * F.col("yy"))
+        value = F.try_divide(F.col("xy") - F.col("x") * F.try_divide("y", "n"), F.sqrt(x) * F.sqrt(y))
+        for row in found.select("a", "b", F.when(sound, value).alias("r")).where("r IS NOT NULL AND NOT isnan(r)").collect():
+            known[varying[row["a"]], varying[row["b"]]] = row["r"]
+    both = [(*names, r) for p, r in known.items() for names in (p, p[::-1])]
+    return both, [p for p in pairs if p not in known]
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present: [x, y, correlation].
 
-    The diagonal is 1, a column without variance gives null. Pairs share passes, `PAIRS_PER_PASS` each.
+    The diagonal is 1, a column without variance gives null. Up to `PAIRS_PER_PASS` pairs are one aggregate; more are
+    matrix products, in one pass as well. The driver holds a row per pair, as the result does.
     """
     columns = check_columns(df, list(columns)) if columns is not None else numeric_columns(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "x string, y string, correlation double")
     values = {c: finite_only(col(c)) for c in columns}
     facts = [
-        F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.min(v) < F.max(v)).alias("varies")) for v in values.values()
+        F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), (F.min(v) < F.max(v)).alias("varies"))
+        for v in values.values()
     ]
     row = df.agg(F.count("*").alias("rows"), *[f.alias(f"c{i}") for i, f in enumerate(facts)]).first()
     fact = {c: row[f"c{i}"] for i, c in enumerate(columns)}
@@ -317,8 +343,11 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     )
     place = {c: col(str(i)) for i, c in enumerate(columns)}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    pairs.sort(key=lambda p: not whole.issuperset(p))
     parts = []
+    if len(pairs) > PAIRS_PER_PASS:
+        known, pairs = _products(df.select(*[v.cast("double").alias(str(i)) for i, v in enumerate(values.values())]), fact, pairs)
+        parts.append(df.sparkSession.createDataFrame(known, "x string, y string, correlation double"))
+    pairs.sort(key=lambda p: not whole.issuperset(p))
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         entries = []
         for a, b in pairs[start : start + PAIRS_PER_PASS]:

@@ -145,6 +145,11 @@ ORACLE["auto_charts"] = " UNION ALL ".join(
         for c in ("o_orderstatus", "o_orderpriority")
     ]
 )
+ORACLE["correlation_wide"] = f"""
+    WITH i AS (SELECT unnest(range(64)) AS i),
+    v AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS c FROM embeddings, i WHERE (vec_id + i) % 7 <> 0)
+    SELECT 'c' || a.i AS x, 'c' || b.i AS y, {r('CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE corr(a.c, b.c) END', 6)} AS correlation
+    FROM v AS a JOIN v AS b USING (vec_id) GROUP BY a.i, b.i"""
 _HEAT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
 ORACLE["correlation_heatmap"] = " UNION ALL ".join(
     f"SELECT '{a}' AS x, '{b}' AS y, {r('1.0::DOUBLE' if a == b else f'corr({a}::DOUBLE, {b}::DOUBLE)', 6)} AS value FROM lineitem"

@@ -191,6 +191,14 @@ def correlation_heatmap(spark, sf_dir):
     return charts.heatmap(table(spark, sf_dir, "lineitem"), wanted).data.select("x", "y", rounded("value", 6).alias("value"))
 
 
+@query
+def correlation_wide(spark, sf_dir):
+    """All pairs of 64 components, each missing in every 7th row."""
+    vectors = table(spark, sf_dir, "embeddings")
+    parts = [F.when((F.col("vec_id") + i) % 7 != 0, F.col("embedding")[i].cast("double")).alias(f"c{i}") for i in range(64)]
+    return profile.correlation_matrix(vectors.select(*parts)).withColumn("correlation", rounded("correlation", 6))
+
+
 @query
 def scatter_sample(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")

@@ -119,6 +119,33 @@ def test_distinct_whole_numbers_and_dates(spark):
     assert grouped == {(g, i - 1): len({r[i] for r in rows if r[0] == g}) for g in (0, 1) for i in (1, 2)}
 
 
+def test_many_correlations_are_products(spark, monkeypatch):
+    """Twenty-six columns with gaps, far means, huge scales, constants, and columns constant only where their partner is present."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(400, 26))
+    data[:, 1] += data[:, 0] * 3
+    data[:, 2] += 1e9
+    data[:, 3] *= 1e150
+    data[:, 4] = 7.0
+    data[rng.random(data.shape) < 0.1] = NAN
+    data[:, 5] = np.where(np.arange(400) < 200, 2.5, data[:, 5])
+    data[200:, 6] = NAN  # 5 is constant where 6 is present
+    data[:200, 7] = NAN  # 6 and 7 never meet
+    data[3, 8] = INF
+    rows = [tuple(None if math.isnan(v) and (i + j) % 2 else float(v) for j, v in enumerate(r)) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, ", ".join(f"`c.{i}` double" for i in range(26))).repartition(5)
+    products = {(r["x"], r["y"]): r["correlation"] for r in P.correlation_matrix(df).collect()}
+    monkeypatch.setattr(P, "PAIRS_PER_PASS", 1000)
+    plain = {(r["x"], r["y"]): r["correlation"] for r in P.correlation_matrix(df).collect()}
+    assert products.keys() == plain.keys() and len(plain) == 676
+    for pair, value in plain.items():
+        assert (products[pair] is None) == (value is None), pair
+        assert value is None or math.isclose(products[pair], value, abs_tol=1e-7 if "c.2" in pair else 1e-10), pair
+    assert plain["c.5", "c.6"] is None and plain["c.6", "c.7"] is None and plain["c.0", "c.4"] is None
+    monkeypatch.setattr(P, "PAIRS_PER_PASS", 300)
+    assert all(r["correlation"] is None for r in P.correlation_matrix(df.limit(0)).collect() if r["x"] != r["y"])
+
+
 def test_correlation(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(300, 3))
