@@ -253,11 +253,14 @@ def query_dataset_all(spark, sf_dir):
 
 
 def as_arrays(df, path):
-    """Write rows as JSON arrays, one file for about 20,000 rows, so that no group grows with the table."""
+    """Write rows as JSON arrays, one file for about 20,000 rows, so that no group grows with the table.
+
+    Several arrays may come to one task, so each is written to a file of its own.
+    """
     files = 1 + df.count() // 20_000
     dealt = df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(files)).alias("file"))
     rows = dealt.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
-    rows.repartition(files, "file").select("value").write.mode("append").text(path)
+    rows.repartition(files, "file").select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
 @query

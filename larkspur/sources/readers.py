@@ -89,12 +89,13 @@ def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
     return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
 
 
-def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line): the first line of every file that is not blank."""
+def first_lines(spark: SparkSession, path: str | list[str], of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file, line): the first line of every file that is not blank, or what `of` makes of it; nothing else of it moves."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
     lines = lines.withColumn("at", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    lines = lines.withColumn("value", of(F.col("value"))) if of else lines
     return lines.groupBy("file").agg(F.min_by("value", F.struct("start", "at")).alias("line"))
 
 
@@ -168,7 +169,7 @@ def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     Something that is no record is an error, as in delimited text.
     """
     if multi_line is None:
-        listed = first_lines(spark, path).select("file", F.ltrim("line").startswith("[").alias("listed"))
+        listed = first_lines(spark, path, lambda line: F.ltrim(line).startswith("[")).withColumnRenamed("line", "listed")
         kinds_found = [r["listed"] for r in listed.select("listed").distinct().orderBy("listed").collect()] or [False]
     else:
         kinds_found = [multi_line]

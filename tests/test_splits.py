@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.sources import readers, splits
@@ -166,3 +167,15 @@ def test_effects_compose():
                     at = tuple(form.after(pa.array([line]), at)[0].tolist())
                     steps.append(at)
                 assert np.array_equal(want, np.array(steps)), (lines, state)
+
+
+def test_arrays_that_come_to_one_task(spark, tmp_path):
+    """Every array has a file of its own, however many a task writes."""
+    from larkspur.plans import queries
+
+    path = str(tmp_path / "arrays.json")
+    rows = spark.range(120_000).withColumn("text", F.concat(F.lit('a "b" [c] \n}'), F.col("id").cast("string")))
+    queries.as_arrays(rows, path)  # seven arrays
+    assert sum(p.stat().st_size > 0 for p in (tmp_path / "arrays.json").glob("part-*")) == 7
+    found = readers.read_json(spark, path)
+    assert found.exceptAll(rows.select(*found.columns)).count() == 0 and found.count() == 120_000
