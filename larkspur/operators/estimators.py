@@ -74,6 +74,20 @@ def random_forest_regressor(classes: int, **hyperparams: Any) -> Estimator:
     return RandomForestRegressor(seed=SEED, **hyperparams)
 
 
+def weighted(estimator: Estimator, weight: str) -> Estimator | None:
+    """The estimator on rows that count `weight` times, if it learns the same from these as from repeated rows, else None.
+
+    Forests draw rows one by one, and so do boosted trees of a sample; a least number of rows in a node counts rows, too.
+    """
+    member = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    boosted = isinstance(member, (GBTClassifier, GBTRegressor))
+    if boosted and (member.getSubsamplingRate() != 1.0 or member.getMinInstancesPerNode() > 1):
+        return None
+    if not boosted and not isinstance(member, LogisticRegression):
+        return None
+    return estimator.copy({estimator.weightCol: weight})
+
+
 def settings(estimator: Estimator) -> dict[str, Any]:
     """Every plain parameter of an estimator, defaults included; those of the member for one-against-rest."""
     member = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator

@@ -164,8 +164,9 @@ def _sql(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def features_target(df: DataFrame, prepared: Features) -> DataFrame:
-    """The rows with a known target as (features, label)."""
+def features_target(df: DataFrame, prepared: Features, weight: str | None = None) -> DataFrame:
+    """The rows with a known target as (features, label), and their weights if a column has them."""
+    kept = [col(weight)] if weight else []
     known = df.where(col(prepared.target).isNotNull())
     ready = prepared.model.transform(known)
     if prepared.classes:
@@ -174,5 +175,5 @@ def features_target(df: DataFrame, prepared: Features) -> DataFrame:
         label = F.when(F.col("__label") < len(prepared.classes), F.col("__label"))
         # estimators read the number of classes here; they would not look for more than 100 by themselves
         named = {"ml_attr": {"type": "nominal", "name": "label", "vals": prepared.classes}}
-        return ready.select("features", label.alias("label", metadata=named))
-    return ready.select("features", col(prepared.target).cast("double").alias("label"))
+        return ready.select("features", label.alias("label", metadata=named), *kept)
+    return ready.select("features", col(prepared.target).cast("double").alias("label"), *kept)

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.types import col
-from larkspur.operators.estimators import Entry, list_for_task, settings, slot_importances
-from larkspur.operators.features import features_target, fit_features, split_xy
+from larkspur.operators.estimators import Entry, list_for_task, settings, slot_importances, weighted
+from larkspur.operators.features import Features, features_target, fit_features, split_xy
 from larkspur.operators.metrics import classification_metrics, regression_metrics
 from larkspur.operators.ranking import rank_within
 from larkspur.operators.split import exact_split
@@ -26,6 +26,11 @@ log = logging.getLogger(__name__)
 PRIMARY = {"classification": "accuracy", "regression": "r2"}
 
 ROWS_PER_TASK = 20_000
+#: A task of training has at most so many rows, and about so many bytes of them.
+MOST_ROWS, MOST_BYTES = 500_000, 128_000_000
+#: Equal training rows are kept once with their number if there are at most so many kinds, and so many rows of each on average.
+MOST_KINDS, LEAST_ALIKE = 100_000, 10
+WEIGHT = "__weight"
 
 LEADERBOARD_SCHEMA = (
     "name string, metrics map<string,double>, train_time_sec double, "
@@ -71,28 +76,42 @@ def auto_train(
     """Train every registered estimator of `task`; one that fails is logged and skipped.
 
     The test side has exactly ceil(test_size * rows) rows. Each side of the split is read once: the needed training columns are kept while the preparation is learnt, the
-    prepared sides for all fits. `parallelism` fits that many models at a time.
+    prepared sides for all fits. Where few kinds of rows make up the table, models that weights tell the same as repeated rows are trained on
+    one row of each kind, the others on all rows. `parallelism` fits that many models at a time.
     """
     entries = list_for_task(task)
     wanted, _ = split_xy(df, target, features)
     sides = exact_split(df.where(col(target).isNotNull()), test_size, seed, key)
     train, test = (side.select(*map(col, [*wanted, target])) for side in sides)
-    train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         prepared = fit_features(train, target, task, wanted)
-        train_xy = _spread(features_target(train, prepared))
-    finally:
+    except Exception:
         train.unpersist()
+        raise
+    held, rows = _spread(train, len(prepared.slots))
+    kinds, parts = _kinds(held, prepared, rows)
+    train_xy, alike_xy = features_target(held, prepared), None
+    if kinds is None:
+        train_xy = train_xy.persist(StorageLevel.MEMORY_AND_DISK)
+        train_xy.count()
+        held.unpersist()
+    else:
+        alike_xy = features_target(kinds, prepared, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+        test = _merged(test, prepared).repartition(parts)
     # Classes that only the test side has can never be predicted; they keep a label of their own.
-    test_xy = features_target(test, prepared).fillna({"label": -1.0}).persist(StorageLevel.MEMORY_AND_DISK)
+    weight = None if kinds is None else WEIGHT
+    test_xy = features_target(test, prepared, weight).fillna({"label": -1.0}).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(position: int, entry: Entry) -> TrainResult | None:
         try:
             started = time.time()
             estimator = entry.build(len(prepared.classes), **(hyperparams or {}).get(entry.name, {}))
-            model = estimator.fit(train_xy)
-            scored = model.transform(test_xy).select("label", "prediction")
-            quality = classification_metrics(scored) if task == "classification" else regression_metrics(scored)
+            by_kind = weighted(estimator, WEIGHT) if alike_xy is not None else None
+            model = by_kind.fit(alike_xy) if by_kind else estimator.fit(train_xy)
+            scored = model.transform(test_xy).select("label", "prediction", *([weight] if weight else []))
+            measure = classification_metrics if task == "classification" else regression_metrics
+            quality = measure(scored, weight=weight)
             metrics = {k: float(v) for k, v in quality.first().asDict().items() if v is not None}
             importance = prepared.importance(slot_importances(model))
             whole = PipelineModel(stages=[*prepared.model.stages, model, *prepared.label_back()])
@@ -109,28 +128,46 @@ def auto_train(
         else:
             found = [fit(i, e) for i, e in enumerate(entries)]
     finally:
-        train_xy.unpersist()
-        test_xy.unpersist()
+        for kept in (held, train_xy, test_xy, *([alike_xy] if alike_xy is not None else [])):
+            kept.unpersist()
     results = [r for r in found if r is not None]
     return AutoTrain(task, target, results, leaderboard(df.sparkSession, results, task))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Keep the training rows in as many partitions as their number and the cluster call for.
+def _spread(df: DataFrame, slots: int) -> tuple[DataFrame, int]:
+    """The kept training rows in as many partitions as their number, their size and the cluster call for; and their number.
 
     Growing trees runs a job per level, so a small table in many partitions is all overhead and a
-    large one in few leaves cores idle. Data that already fills the cluster is not shuffled.
+    large one in few leaves cores idle, or makes tasks of any size. Data that already lies so is not shuffled.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows, parts = kept.count(), kept.rdd.getNumPartitions()
+    rows, parts = df.count(), df.rdd.getNumPartitions()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = min(rows // ROWS_PER_TASK + 1, max(parts, cores))
+    most = min(MOST_ROWS, max(ROWS_PER_TASK, MOST_BYTES // (100 + 12 * slots)))
+    wanted = max(min(rows // ROWS_PER_TASK + 1, max(parts, cores)), -(-rows // most))
     if wanted == parts:
-        return kept
-    spread = (kept.repartition(wanted) if wanted > parts else kept.coalesce(wanted)).persist(StorageLevel.MEMORY_AND_DISK)
+        return df, rows
+    spread = (df.repartition(wanted) if wanted > parts else df.coalesce(wanted)).persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
-    kept.unpersist()
-    return spread
+    df.unpersist()
+    return spread, rows
+
+
+def _merged(df: DataFrame, prepared: Features) -> DataFrame:
+    """One row for all that agree in features and target, with their number."""
+    used = [*prepared.numeric, *prepared.categorical, *prepared.hashed, prepared.target]
+    return df.groupBy(*map(col, used)).agg(F.count("*").cast("double").alias(WEIGHT))
+
+
+def _kinds(df: DataFrame, prepared: Features, rows: int) -> tuple[DataFrame | None, int]:
+    """The merged rows in few partitions, and how many; None if there are too many kinds to gain by it. A vector is taken for a kind of its own."""
+    if any(type(df.schema[c].dataType).__name__ == "VectorUDT" for c in prepared.categorical):
+        return None, 0
+    used = [*prepared.numeric, *prepared.categorical, *prepared.hashed, prepared.target]
+    found = df.agg(F.approx_count_distinct(F.xxhash64(*map(col, used)))).first()[0]
+    if found > MOST_KINDS or found * LEAST_ALIKE > rows:
+        return None, 0
+    parts = found // ROWS_PER_TASK + 1
+    return _merged(df, prepared).repartition(parts), parts
 
 
 def leaderboard(spark: SparkSession, results: list[TrainResult], task: str) -> DataFrame:

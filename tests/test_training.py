@@ -237,3 +237,37 @@ def test_sort_puts_missing_metric_last(spark):
     board = spark.createDataFrame(rows, automl.LEADERBOARD_SCHEMA)
     assert [r["name"] for r in automl.sort_leaderboard(board, "classification").collect()] == ["b", "c", "a"]
     assert automl.best_model(board, "classification").first()["name"] == "b"
+
+
+def test_tasks_of_training_are_bounded(spark, monkeypatch):
+    """More rows are more tasks, not larger ones, whatever the number of cores."""
+    monkeypatch.setattr(automl, "MOST_ROWS", 50)
+    monkeypatch.setattr(automl, "ROWS_PER_TASK", 10)
+    df = spark.range(3000, numPartitions=2).persist()
+    spread, rows = automl._spread(df, 1)
+    sizes = spread.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert rows == sum(sizes) == 3000 and max(sizes) <= 60
+    spread.unpersist()
+
+
+def test_rows_alike_are_trained_on_once(spark, monkeypatch):
+    """Models and measures are those of all rows, also with gaps; the forest still draws from the rows."""
+    rows = spark.range(4000).select(
+        "id", (F.col("id") % 5).alias("x"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("z"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("c"),
+    ).withColumn("y", F.when(F.col("x") * 2 + F.coalesce("z", F.lit(0)) + F.col("id") % 2 > 7, "a").otherwise("b"))
+    rows = rows.withColumn("t", F.col("x") * 3.0 + F.coalesce("z", F.lit(9)) + F.col("id") % 2)
+    seen = []
+    monkeypatch.setattr(automl, "weighted", lambda e, w, of=automl.weighted: seen.append((type(e).__name__, of(e, w) is not None)) or of(e, w))
+    for task, target in (("classification", "y"), ("regression", "t")):
+        found = {}
+        for most in (100_000, 0):
+            monkeypatch.setattr(automl, "MOST_KINDS", most)
+            found[most] = automl.auto_train(rows, target, task, key=["id"], features=["x", "z", "c"]).results
+        assert [r.name for r in found[0]] == [r.name for r in found[100_000]] and found[0]
+        for by_kind, by_row in zip(found[100_000], found[0], strict=True):
+            assert by_kind.hyperparams == by_row.hyperparams
+            assert by_kind.metrics == pytest.approx(by_row.metrics, rel=1e-6, abs=1e-9), by_kind.name
+    assert dict(seen) == {
+        "GBTClassifier": True, "RandomForestClassifier": False, "LogisticRegression": True, "GBTRegressor": True, "RandomForestRegressor": False,
+    }
