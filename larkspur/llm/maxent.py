@@ -46,6 +46,8 @@ PER_LEAF = 2
 MOST_BITS = 18
 INNER_BITS = (12, 14)
 CHUNK_BYTES = 4_000_000
+#: Leaves whose sums move as one row.
+LEAVES = 1 << 16
 
 END, BEFORE = np.int64(SURFACES), np.int64(2 * SURFACES)
 ROWS = 3 * FEATURES + 1
@@ -258,8 +260,8 @@ def make_tables(counts: DataFrame, most: int) -> tuple[Tables, int]:
         if held <= most:
             least = row["least"]
     least = least or 1 << 62
-    rows = counts.where(F.col("n") >= least).toPandas().sort_values("key")
-    frequent, times = rows["key"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
+    rows = counts.where(F.col("n") >= least).toArrow().sort_by("key")
+    frequent, times = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
     order = np.lexsort((frequent, -times))
     words = order[frequent[order] != END][: CLASSES - SURFACES - 1]
     own = np.sort(np.append(frequent[words], END))
@@ -276,12 +278,33 @@ def make_tables(counts: DataFrame, most: int) -> tuple[Tables, int]:
         if place < len(frequent) and frequent[place] == key:
             per_class[SURFACES + number] = times[place]
     bits = sum(levels_for(kinds))
-    found = alone.groupBy(leaf_of(F.col("key"), bits).alias("leaf")).agg(F.sum("n").alias("n")).toPandas()
-    leaves = np.zeros(SURFACES << bits, dtype=np.float32)
-    leaves[found["leaf"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    leaves = leaf_sums(alone, bits)
     return Tables(frequent, times, own, per_class, unseen, total, kinds, leaves), least
 
 
+def leaf_sums(counts: DataFrame, bits: int) -> np.ndarray:
+    """Tokens of every leaf. Tasks put `LEAVES` neighbours into one row of floats, so the driver gets 4 bytes a leaf and no row for each."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            leaf, n = np.asarray(batch.column("leaf")), np.asarray(batch.column("n"))
+            for block in np.unique(leaf // LEAVES).tolist():
+                mine = leaf // LEAVES == block
+                blocks.setdefault(block, np.zeros(LEAVES))
+                np.add.at(blocks[block], leaf[mine] % LEAVES, n[mine])
+        for block, sums in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sums.astype("<f4").tobytes()], pa.binary())], names=["block", "sums"])
+
+    summed = counts.groupBy(leaf_of(F.col("key"), bits).alias("leaf")).agg(F.sum("n").alias("n"))
+    dealt = summed.repartition(F.floor(F.col("leaf") / LEAVES)).mapInArrow(put, "block long, sums binary")
+    leaves = np.zeros(max(SURFACES << bits, LEAVES), dtype=np.float32)
+    for batch in dealt.toArrow().to_batches():
+        for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
+            leaves[block * LEAVES : (block + 1) * LEAVES] = np.frombuffer(sums.as_buffer(), dtype="<f4")
+    return leaves[: SURFACES << bits]
+
+
 def leaf_of(key: Column, bits: int) -> Column:
     """nodes(key, bits) of keys in a table."""
     return F.pmod(key, F.lit(SURFACES)) * (1 << bits) + F.shiftrightunsigned(key, 64 - bits)
@@ -326,10 +349,12 @@ def train_round(training: DataFrame, weights: list[np.ndarray], tables: Tables,
     blocks = training.select("text").mapInArrow(step, schema)
     # sums are taken as batches come; a block is one vector, whatever the number of tasks
     new = [w.copy() for w in weights]
-    for row in blocks.repartition("number", "block").mapInArrow(add, schema).collect():
-        met = np.frombuffer(row["met"], dtype=np.int64)
-        change = np.frombuffer(row["change"]).reshape(len(met), -1)
-        new[row["number"]][row["block"] : row["block"] + len(met)] += (change / np.maximum(met, 1)[:, None]).astype(np.float32)
+    for batch in blocks.repartition("number", "block").mapInArrow(add, schema).toArrow().to_batches():
+        for number, block, total, times in zip(*(batch.column(c) for c in ("number", "block", "change", "met")), strict=True):
+            met = np.frombuffer(times.as_buffer(), dtype=np.int64)
+            change = np.frombuffer(total.as_buffer()).reshape(len(met), -1)
+            at = slice(block.as_py(), block.as_py() + len(met))
+            new[number.as_py()][at] += (change / np.maximum(met, 1)[:, None]).astype(np.float32)
     return new
 
 

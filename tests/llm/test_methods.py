@@ -501,3 +501,18 @@ def test_pipeline_stages(spark, texts, labels):
         docs = after
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in docs.collect())
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_leaf_sums_come_in_blocks(spark, monkeypatch, bits):
+    """The driver gets a row for many leaves, none for each word or leaf."""
+    monkeypatch.setattr(maxent, "LEAVES", 1 << 10)
+    counts = spark.range(3000).select((F.col("id") * 0x9E3779B97F4A7 - 2**62).alias("key"), (F.col("id") % 9 + 1).alias("n"))
+    want = np.zeros(maxent.SURFACES << bits, dtype=np.float32)
+    for r in counts.collect():
+        want[maxent.nodes(np.array([r["key"]]), bits)[0]] += r["n"]
+    got = []
+    arrow = type(counts).toArrow
+    monkeypatch.setattr(type(counts), "toArrow", lambda df: got.append(arrow(df)) or got[-1])
+    assert np.array_equal(maxent.leaf_sums(counts, bits), want)
+    assert sum(t.num_rows for t in got) <= max(1, (maxent.SURFACES << bits) >> 10)
