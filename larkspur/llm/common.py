@@ -47,6 +47,18 @@ def random_key(salt: str, *values: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), *parts)), 1, 15), 16, 10).cast("long")
 
 
+def give_back() -> None:
+    """Hand back the memory that Arrow and the C library keep for later."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The function over batches; at its end the worker hands back the memory that Arrow and the C library keep for later.
 
@@ -54,15 +66,8 @@ def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-
-        import pyarrow
-
         yield from function(batches)
-        pyarrow.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Scratch, field, lean, random_key, running_sums, slices, table
-from larkspur.llm.tokens import CHUNK_BYTES, encoder, vocabulary_path
+from larkspur.llm.common import Scratch, field, give_back, lean, random_key, running_sums, slices, table
+from larkspur.llm.tokens import encoder, vocabulary_path
 
 SEQUENCE = 2048
 END_ID = 0
@@ -41,6 +41,9 @@ PASSES = 20
 GAIN = 0.5  # how fast a length gains weight whose configurations are poor
 MOST_TURNS = 40  # the program is solved at most this often for what rounding left
 
+#: Bytes of text that are encoded together: a worker takes some 150 MB for these, beside a JVM that earlier stages have filled.
+CHUNK_BYTES = 1_000_000
+
 PIECES = "doc_id long, piece int, start long, length long, key long, ids binary"
 
 log = logging.getLogger(__name__)
@@ -82,6 +85,7 @@ def pieces(
                 pa.array(body, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")])
+            give_back()
 
     named = df.select(field(key).cast("long").alias("id"), field(text).alias("text"), random_key("pack", field(key), field(text)).alias("key"))
     return named.mapInArrow(cut, PIECES)
