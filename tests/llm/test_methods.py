@@ -516,3 +516,48 @@ def test_leaf_sums_come_in_blocks(spark, monkeypatch, bits):
     monkeypatch.setattr(type(counts), "toArrow", lambda df: got.append(arrow(df)) or got[-1])
     assert np.array_equal(maxent.leaf_sums(counts, bits), want)
     assert sum(t.num_rows for t in got) <= max(1, (maxent.SURFACES << bits) >> 10)
+
+
+# --- op8, steps and scores --------------------------------------------------------------------------------
+
+
+def test_row_sums_against_plain_addition():
+    random = np.random.default_rng(7)
+    for rows in (random.zipf(1.4, 3000) % 500, np.zeros(3000, dtype=np.int64), random.integers(0, 1 << 20, 3000), np.empty(0, dtype=np.int64)):
+        values = random.normal(size=(max(len(rows) // 3, 1), 5)).astype(np.float32)
+        want = np.zeros((int(rows.max(initial=0)) + 1, 5))
+        np.add.at(want, rows, np.tile(values, (3, 1))[: len(rows)])
+        used, times, sums = maxent.row_sums(rows, values)
+        assert (np.diff(times) <= 0).all() and dict(zip(used.tolist(), times.tolist(), strict=True)) == Counter(rows.tolist())
+        assert sums == pytest.approx(want[used], abs=1e-3)
+
+
+@pytest.mark.parametrize("size", [1.0, 60.0])
+def test_odds_are_those_of_the_logits(size):
+    """Small weights are looked up as exponentials; large ones leave single precision and are added up."""
+    random = np.random.default_rng(8)
+    kinds = 2_000_000
+    leaves = random.integers(0, 9, maxent.SURFACES << sum(maxent.levels_for(kinds))).astype(np.float32)
+    none = np.empty(0, dtype=np.int64)
+    tables = maxent.Tables(none, none, none, np.ones(maxent.CLASSES), np.zeros(maxent.CLASSES), 10, kinds, leaves)
+    weights = [(random.random(s) * 2 - 1).astype(np.float32) * np.float32(size) for s in ((maxent.ROWS, maxent.CLASSES), (3 * tables.inner, maxent.FAN))]
+    odds, at = maxent.Odds(weights, tables), np.arange(700)
+    assert (odds.classes is None) == (odds.inner is None) == (size > 20)
+    rows, goal = random.integers(0, maxent.FEATURES, (700, 3)) + np.arange(3) * maxent.FEATURES, random.integers(0, maxent.CLASSES, 700)
+    logits = (weights[0][rows].astype(float).sum(axis=1) + weights[0][-1])
+    want = logits - np.log(np.exp(logits - logits.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - logits.max(axis=1, keepdims=True)
+    assert odds.class_logs(rows, goal) == pytest.approx(want[at, goal], abs=1e-4 * size)
+    out = np.empty((700, maxent.CLASSES), dtype=np.float32)
+    maxent.softmax(maxent.class_logits(weights[0], rows), out)
+    assert out == pytest.approx(np.exp(want), abs=1e-4)
+
+
+def test_training_does_not_follow_partitions(spark, texts):
+    """Few tokens are trained on by few tasks, however many partitions hold them, so that what moves follows the tokens."""
+    rows = [(texts[i],) for i in sorted(texts)[:60]]
+    frames = [spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "text string") for n in (1, 12)]
+    tables, _ = maxent.make_tables(maxent.count_words(frames[0]), maxent.TABLE)
+    start = [np.zeros((maxent.ROWS, maxent.CLASSES), dtype=np.float32), np.zeros((3 * tables.inner, maxent.FAN), dtype=np.float32)]
+    one, many = (maxent.train_round(df, start, tables, 0.5) for df in frames)
+    assert all(np.abs(a - b).max() < 1e-3 and np.abs(a).max() > 0 for a, b in zip(one, many, strict=True))
+    assert maxent.groups_for(1000, 8) == 1 and maxent.groups_for(10**8, 8) == 8 and maxent.groups_for(10**10, 8) > 8
